@@ -6,18 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampora.llm import residue
+from ampora.llm import leakage, names, oracle, repeats, residue, survivors
 from ampora.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of spellings of one party."""
+    return names.found(table(spark, sf_dir, "project_intel"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that supplies each field of each project."""
+    values = survivors.field_values(table(spark, sf_dir, "projects"), table(spark, sf_dir, "sources"))
+    return survivors.survivors(values).select("canonical_key", "field", "row_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without real content or with an unfilled template."""
     return residue.found(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line repeated in its source."""
+    return repeats.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the documents that repeat at least half of it."""
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
