@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ampora.llm import leakage, names, oracle, repeats, residue, survivors
+from ampora.llm import boilerplate, language, leakage, names, oracle, packing, repeats, residue, survivors
 from ampora.session import table
 
 
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with real content, with the numbers of their furniture lines."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "url", "title", "lang", "text").where("text IS NOT NULL")
+    good = residue.residue(documents).where("residue IS NULL").drop("residue")
+    return boilerplate.furniture_lines(good, table(spark, sf_dir, "page_capture"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document that isn't the article."""
+    return _articles(spark, sf_dir).select("doc_id", F.explode("furniture").alias("line_no"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of spellings of one party."""
     return names.found(table(spark, sf_dir, "project_intel"))
@@ -31,13 +44,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of each capacity."""
+    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the documents that repeat at least half of it."""
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main languages that the label doesn't give, and paragraphs in another language."""
+    return language.found(_articles(spark, sf_dir), language.fit(table(spark, sf_dir, "lang_samples")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
