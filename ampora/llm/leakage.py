@@ -73,7 +73,7 @@ class Walks:
 
 
 def longest_match(doc: np.ndarray, item: np.ndarray, edit_share: float = EDIT_SHARE) -> int:
-    """Tokens of the longest unbroken stretch of ``item`` that ``doc`` repeats with at most this share of edits."""
+    """Tokens of the longest unbroken stretch of ``item`` that ``doc`` repeats with at most this share of edits (one at least)."""
     equal = (doc[:, None] == item[None, :]) & (item[None, :] > 0)
     # Runs of equal tokens along the diagonals, as (doc start, item start, length).
     d, i = np.nonzero(equal)
@@ -108,7 +108,7 @@ def longest_match(doc: np.ndarray, item: np.ndarray, edit_share: float = EDIT_SH
         for edits, start in mine.items():
             length = b + n - start
             # An end of the stretch may be cut to bring down the share of edits, so the bound is checked as it stands.
-            if length > best and edits <= length * edit_share:
+            if length > best and edits <= max(1, length * edit_share):
                 best = length
     return best
 
