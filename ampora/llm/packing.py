@@ -22,7 +22,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD = 4096
 MIN_SEGMENT = 16  # tokens per segment that the limit on segments allows for: capacity // MIN_SEGMENT segments
 
-PIECES = "spec_id int, capacity long, doc_id long, piece int, tokens long, loss long, shard int"
 PLACED = "spec_id int, container_id long, doc_id long, piece int, first_token long, tokens long"
 
 
@@ -95,7 +94,15 @@ def _pack(batch: pd.DataFrame) -> pd.DataFrame:
     limits = np.array([capacity, max(1, capacity // MIN_SEGMENT), capacity], dtype=float)
     demand = np.stack([batch["tokens"], np.ones(len(batch)), batch["loss"]], axis=1).astype(float)
     container = pack(demand, limits)
-    return pd.DataFrame({"spec_id": batch["spec_id"], "container_id": container * (1 << 24) + batch["shard"].astype("int64"), "doc_id": batch["doc_id"], "piece": batch["piece"], "first_token": batch["piece"].astype("int64") * capacity, "tokens": batch["tokens"]})
+    # The full containers that the pieces before the rest of a long text fill.
+    whole = batch["piece"].to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(batch)), whole)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+    ids = np.concatenate([container, container.max() + 1 + np.arange(len(owner))])
+    rows = np.concatenate([np.arange(len(batch)), owner])
+    pieces = np.concatenate([whole, piece])
+    tokens = np.concatenate([batch["tokens"].to_numpy(), np.full(len(owner), capacity)])
+    return pd.DataFrame({"spec_id": batch["spec_id"].to_numpy()[rows], "container_id": ids * (1 << 24) + int(batch["shard"].iloc[0]), "doc_id": batch["doc_id"].to_numpy()[rows], "piece": pieces, "first_token": pieces * capacity, "tokens": tokens})
 
 
 def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -103,7 +110,7 @@ def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZE
 
     Every token of every text stands in one container of each spec; empty texts take a segment without tokens; equal texts
     are packed each. ``specs`` is a short list of capacities. An empty table gives an empty one. Copies of a container number
-    within a spec don't occur: it names the shard and the container in it; full pieces count down from -1.
+    within a spec don't occur: it names the shard and the container in it.
     """
     wanted = [(int(r["spec_id"]), int(r["capacity_tokens"])) for r in specs.select("spec_id", "capacity_tokens").collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0]
     counted = token_counts(documents, tokenizer)
@@ -113,15 +120,11 @@ def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZE
     shards = max(1, -(-total // SHARD))
     spec = F.explode(F.array(*(F.struct(F.lit(s).alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for s, c in wanted)))
     each = counted.select("doc_id", "tokens", "loss", spec.alias("s")).select("s.*", "doc_id", "tokens", "loss")
-    whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
-    full = each.where(F.col("tokens") > F.col("capacity")).withColumn("piece", F.explode(F.sequence(F.lit(0), whole - 1)))
-    full = full.select("spec_id", (-(F.col("doc_id") * (1 << 20) + F.col("piece")) - 1).alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("tokens"))
-    is_long = F.col("tokens") > F.col("capacity")
-    rest = F.when(is_long, F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens"))
-    pieces = each.select("spec_id", "capacity", "doc_id", F.when(is_long, whole).otherwise(0).alias("piece"), rest.alias("tokens"), F.least("loss", rest).alias("loss"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), is_long.alias("_long"))
-    pieces = pieces.where("NOT (_long AND tokens = 0)").drop("_long")
-    placed = pieces.groupBy("spec_id", "shard").applyInPandas(_pack, PLACED)
-    return placed.unionByName(full)
+    # A longer text is cut into full containers and a rest that is packed; a rest of nothing is a full container more.
+    whole = F.when(F.col("tokens") > F.col("capacity"), F.floor((F.col("tokens") - 1) / F.col("capacity"))).otherwise(0).cast("int")
+    rest = F.col("tokens") - F.col("_whole") * F.col("capacity")
+    pieces = each.withColumn("_whole", whole).select("spec_id", "capacity", "doc_id", F.col("_whole").alias("piece"), rest.alias("tokens"), F.least(F.col("loss"), rest).alias("loss"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    return pieces.groupBy("spec_id", "shard").applyInPandas(_pack, PLACED)
 
 
 def fill(placed: DataFrame, specs: DataFrame) -> DataFrame:
