@@ -61,12 +61,18 @@ def resolve(mentions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = cut_lineage(keyed)
     nodes = cut_lineage(keyed.dropDuplicates(["node"]).drop("mention_id"))
     named = nodes.where("name <> ''")
-    # Names over the threshold share a good part of their rarer bigrams: each name is filed under its three rarest.
+    # Prefix filter: two names over the threshold share at least an eighth of their bigrams, so each is filed under all but
+    # the most frequent eighth of its own; the commonest bigrams make no block.
     grams = named.select("node", F.explode(X.bigrams(F.col("name"))).alias("gram"))
     counts = grams.groupBy("gram").count()
-    ranked = grams.join(counts, "gram").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "gram"))), 1, 3).alias("rare"))
+    ranked = grams.join(counts, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("rare"))
+    ranked = ranked.withColumn("rare", F.slice("rare", F.lit(1), F.size("rare") - F.floor(F.size("rare") * 0.12).cast("int")))
     filed = named.join(ranked, "node").withColumn("gram", F.explode(F.transform("rare", lambda x: x["gram"]))).drop("rare")
-    pairs = filed.alias("x").join(filed.alias("y"), F.expr("x.gram = y.gram AND x.node < y.node")).where(match_score("x", "y") >= threshold)
-    links = cut_lineage(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    # Countries that match begin alike, so they part the blocks; a mention without a country meets all.
+    filed = filed.withColumn("begin", F.substring("country", 1, 2))
+    same = filed.alias("x").join(filed.alias("y"), F.expr("x.gram = y.gram AND x.begin = y.begin AND x.node < y.node"))
+    open_ = filed.where("begin = ''").alias("x").join(filed.where("begin <> ''").alias("y"), F.expr("x.gram = y.gram"))
+    scored = [j.where(match_score("x", "y") >= threshold).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")) for j in (same, open_)]
+    links = cut_lineage(scored[0].unionByName(scored[1]).distinct())
     found = components(nodes, links)
     return keyed.join(found, "node").select("mention_id", F.col("component").alias("entity_id")).distinct()

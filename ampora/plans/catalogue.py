@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampora.functions import text as X
-from ampora.session import table
+from ampora.operators import resolve
+from ampora.session import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -474,6 +476,27 @@ def all_addresses(spark, d):
     return table(spark, d, "projects").select(F.explode(urls).alias("url")).where("url LIKE 'http%'").distinct()
 
 
+@query()
+def resolve_entities(spark, d):
+    """Project rows resolved to entities by name, country, capacity and party (iterative, no SQL form)."""
+    get = lambda f: F.get_json_object("fields_json", f"$.{f}")
+    mentions = table(spark, d, "projects").select(F.col("row_id").alias("mention_id"), get("project_name").alias("name"), get("country").alias("country"), F.expr("try_cast(get_json_object(fields_json, '$.pv_capacity_mw') AS double)").alias("capacity"), get("developer").alias("party"))
+    return resolve.resolve(mentions)
+
+
+@query("SELECT min(event_id) AS first_id, user_id FROM events GROUP BY user_id")
+def stream_first_per_key(spark, d):
+    """The first event of each key, as a stream that is run to its end into the shared folder and read back."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").groupBy("user_id").agg(F.min("event_id").alias("first_id"))
+    # Complete mode keeps one row of state per key; the last batch holds the answer.
+    target = f"{folder}/out"
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(target)
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select("first_id", "user_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -27,7 +27,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, DATA)
     columns = sorted(df.columns)
