@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that their Python needs no search path of its own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ampora_shipped", False):
+        return
+    sc._ampora_shipped = True
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ampora-")) / "ampora_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
