@@ -21,6 +21,8 @@ from ampora.session import cut_lineage
 
 WINDOW, MASK = 8, 31  # a boundary every 32 letters on average
 MIN_DOCUMENTS, MIN_SHARE = 3, 0.05
+BROADCAST_KEYS = 1_000_000  # repeated chunks (16 bytes each) that are broadcast; beyond, they are joined with salts
+SALTS = 32
 
 _OTHER = re.compile(r"[^\w\n]+|[\d_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -117,10 +119,19 @@ def repeated_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min
         counts = rows.groupBy("_source", key).count()
         return counts.join(needed, "_source").where(F.col("count") >= F.col("needed") - 1e-9).select("_source", key)
 
-    chunks = often(lines.select("_source", F.explode("fresh_chunks").alias("chunk")), "chunk")
-    candidates = lines.join(chunks, ["_source", "chunk"], "left_semi").join(chunks.withColumnRenamed("chunk", "last_chunk"), ["_source", "last_chunk"], "left_semi")
-    repeated = often(candidates.where("fresh_line"), "line")
-    return candidates.join(repeated, ["_source", "line"], "left_semi").select("doc_id", "line_no")
+    chunks = cut_lineage(often(lines.select("_source", F.explode("fresh_chunks").alias("chunk")), "chunk"))
+    candidates = _of(_of(lines, chunks, "chunk"), chunks.withColumnRenamed("chunk", "last_chunk"), "last_chunk")
+    repeated = cut_lineage(often(candidates.where("fresh_line"), "line"))
+    return _of(candidates, repeated, "line").select("doc_id", "line_no")
+
+
+def _of(lines: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``lines`` whose (source, name) is among ``keys``: broadcast up to a checked size, beyond it joined with salts."""
+    if keys.count() <= BROADCAST_KEYS:
+        return lines.join(F.broadcast(keys), ["_source", name], "left_semi")
+    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["_source", name, "_salt"], "left_semi").drop("_salt")
 
 
 def without_repeats(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
