@@ -30,8 +30,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that supplies each field of each project."""
-    values = survivors.field_values(table(spark, sf_dir, "projects"), table(spark, sf_dir, "sources"))
-    return survivors.survivors(values).select("canonical_key", "field", "row_id")
+    return survivors.found(table(spark, sf_dir, "projects"), table(spark, sf_dir, "sources"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
