@@ -64,10 +64,13 @@ def counts(texts: list[str], features: int = FEATURES) -> np.ndarray:
 
 
 class Model:
-    """Centroids of languages over TF-IDF vectors."""
+    """Centroids of languages over TF-IDF vectors; without labelled texts it rejects all."""
 
     def __init__(self, labelled: list[tuple[str, str]], centroids: int = CENTROIDS, features: int = FEATURES, rounds: int = 12):
         self.features = features
+        self.languages: list[str] = []
+        if not labelled:
+            return
         texts = [t for _, t in labelled]
         tf = self._tf(counts(texts, features))
         idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1
@@ -77,7 +80,7 @@ class Model:
         used = (usual > 0.15 * usual.max(axis=0)).sum(axis=0).clip(1)
         self.idf = (idf * np.log((len(kinds) + 0.5) / used)).astype(np.float32)
         vectors = self._unit(tf * self.idf)
-        self.languages, rows = [], []
+        rows = []
         for lang in sorted({k for k, _ in labelled}):
             own = vectors[[i for i, (k, _) in enumerate(labelled) if k == lang]]
             k = min(centroids, len(own))
@@ -91,9 +94,7 @@ class Model:
                 centers = np.stack([self._unit(own[nearest == j].sum(axis=0, keepdims=True))[0] if (nearest == j).any() else centers[j] for j in range(k)])
             rows.append(centers)
             self.languages += [lang] * k
-        self.matrix = np.concatenate(rows).T.astype(np.float32) if rows else np.zeros((features, 0), np.float32)
-        self.names = sorted(set(self.languages))
-        self.owner = np.array([self.names.index(x) for x in self.languages])
+        self.matrix = np.concatenate(rows).T.astype(np.float32)
 
     @staticmethod
     def _tf(c: np.ndarray) -> np.ndarray:
@@ -105,6 +106,8 @@ class Model:
 
     def classify(self, texts: list[str], reject: float = REJECT) -> list[tuple[str | None, float]]:
         """Language and cosine of each text; None under ``reject`` and for texts without letters."""
+        if not self.languages:
+            return [(None, 0.0)] * len(texts)
         out: list[tuple[str | None, float]] = []
         for at in range(0, len(texts), 128):
             weighted = self._tf(counts(texts[at : at + 128], self.features)) * self.idf

@@ -112,6 +112,7 @@ def test_language_model_and_documents(spark):
     model = language.Model(SAMPLES)
     assert [x[0] for x in model.classify([t for _, t in SAMPLES])] == [k for k, _ in SAMPLES]
     assert model.classify(["", "12345"])[0][0] is None
+    assert language.Model([]).classify(["some text"]) == [(None, 0.0)]
     text = "\n".join(["Headline", SAMPLES[0][1], SAMPLES[0][1], SAMPLES[2][1], "© 2025. All rights of the site are reserved by us."])
     docs = spark.createDataFrame([(1, text, "Headline", "de-DE", [5], 9), (2, text, None, "EN_gb", [5], 9), (3, None, None, None, None, 9), (4, "", "", "", [], 9)], "doc_id long, text string, title string, lang string, furniture array<int>, line_no int")
     assert {tuple(r) for r in language.found(docs, model).collect()} == {(1, 0, "en"), (1, 4, "de"), (2, 4, "de")}
