@@ -475,6 +475,113 @@ def all_addresses(spark, d):
     urls = F.concat(F.array("primary_url"), F.coalesce(F.from_json("source_urls_json", "array<string>"), F.array().cast("array<string>")))
     return table(spark, d, "projects").select(F.explode(urls).alias("url")).where("url LIKE 'http%'").distinct()
 
+# --- further operators ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN status_code = 429 THEN 'RATE_LIMITED' WHEN regexp_matches(lower(substr(coalesce(text, ''), 1, 8000)), 'captcha|verifying your connection|you are human|人机验证') THEN 'BOT_CHALLENGE' WHEN regexp_matches(lower(substr(coalesce(text, ''), 1, 8000)), 'access denied|forbidden|acceso denegado|访问受限') THEN 'ACCESS_DENIED' WHEN status_code IN (401, 403) THEN 'ACCESS_DENIED' END AS block FROM documents")
+def access_block(spark, d):
+    """How a page was blocked, first rule wins."""
+    t = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 8000))
+    block = F.when(F.col("status_code") == 429, "RATE_LIMITED").when(t.rlike("captcha|verifying your connection|you are human|人机验证"), "BOT_CHALLENGE").when(t.rlike("access denied|forbidden|acceso denegado|访问受限"), "ACCESS_DENIED").when(F.col("status_code").isin(401, 403), "ACCESS_DENIED")
+    return table(spark, d, "documents").select("doc_id", block.alias("block"))
+
+
+@query("WITH c AS (SELECT row_id, unnest(from_json(conflicts_json, '[{\"field\":\"VARCHAR\",\"values\":[\"VARCHAR\"]}]')) AS c FROM projects) SELECT c.field AS field, count(*) AS n, sum(len(c.\"values\"))::BIGINT AS stated FROM c GROUP BY 1")
+def conflict_fields(spark, d):
+    """Conflicts by field and the values stated."""
+    c = table(spark, d, "projects").select(F.explode(F.from_json("conflicts_json", "array<struct<field:string,values:array<string>>>")).alias("c"))
+    return c.groupBy("c.field").agg(F.count("*").alias("n"), F.sum(F.size("c.values")).cast("bigint").alias("stated"))
+
+
+@query("WITH v AS (SELECT canonical_key, row_id, try_cast(json_extract_string(fields_json, '$.pv_capacity_mw') AS DOUBLE) AS mw FROM projects WHERE canonical_key IS NOT NULL), l AS (SELECT row_id, mw, lag(mw) OVER (PARTITION BY canonical_key ORDER BY row_id) AS before FROM v WHERE mw IS NOT NULL) SELECT row_id, abs(mw - before) <= 0.02 * greatest(1.0, abs(mw), abs(before)) AS equivalent FROM l WHERE before IS NOT NULL")
+def equivalent_values(spark, d):
+    """Whether a stated capacity agrees within two per cent with the one stated before it."""
+    v = table(spark, d, "projects").where("canonical_key IS NOT NULL").select("canonical_key", "row_id", F.expr("try_cast(get_json_object(fields_json, '$.pv_capacity_mw') AS double)").alias("mw")).where("mw IS NOT NULL")
+    l = v.withColumn("before", F.lag("mw").over(W.partitionBy("canonical_key").orderBy("row_id"))).where("before IS NOT NULL")
+    return l.select("row_id", (F.abs(F.col("mw") - F.col("before")) <= 0.02 * F.greatest(F.lit(1.0), F.abs("mw"), F.abs("before"))).alias("equivalent"))
+
+
+@query(r"SELECT record_id, CAST(regexp_extract(capacity, '^(\d{1,9}) ?(MW|GW|kW)$', 1) AS BIGINT) * CASE regexp_extract(capacity, '^(\d{1,9}) ?(MW|GW|kW)$', 2) WHEN 'GW' THEN 1000000 WHEN 'MW' THEN 1000 ELSE 1 END AS kw FROM project_intel WHERE regexp_matches(capacity, '^(\d{1,9}) ?(MW|GW|kW)$')")
+def unit_factor_table(spark, d):
+    """Plain capacities by a table of factors (p1 has the general form)."""
+    part = lambda g: F.regexp_extract("capacity", r"^(\d{1,9}) ?(MW|GW|kW)$", g)
+    factor = F.when(part(2) == "GW", 1_000_000).when(part(2) == "MW", 1000).otherwise(1)
+    return table(spark, d, "project_intel").where(F.col("capacity").rlike(r"^(\d{1,9}) ?(MW|GW|kW)$")).select("record_id", (part(1).cast("bigint") * factor).cast("bigint").alias("kw"))
+
+
+@query("SELECT url, arg_max(article_id, (fetched_at, article_id)) AS article_id, count(*) AS fetches, max(read_count) AS reads FROM dajiala_article WHERE url IS NOT NULL AND url <> '' GROUP BY url")
+def article_deduplication(spark, d):
+    """The latest fetch of each article."""
+    m = F.max(F.struct(F.coalesce(F.col("fetched_at").cast("string"), F.lit("")).alias("t"), "article_id")).alias("m")
+    g = table(spark, d, "dajiala_article").where("url IS NOT NULL AND url <> ''").groupBy("url").agg(m, F.count("*").alias("fetches"), F.max("read_count").alias("reads"))
+    return g.select("url", "m.article_id", "fetches", "reads")
+
+
+@query("SELECT CASE WHEN original IS NULL THEN 'unknown' WHEN original THEN 'original' ELSE 'copy' END AS kind, count(*) AS n, count(DISTINCT account_id) AS accounts, coalesce(sum(read_count), 0)::BIGINT AS reads FROM dajiala_article GROUP BY 1")
+def original_flags(spark, d):
+    """Articles by the tri-state mark of originality."""
+    kind = F.when(F.col("original").isNull(), "unknown").when(F.col("original"), "original").otherwise("copy")
+    return table(spark, d, "dajiala_article").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("account_id").alias("accounts"), F.coalesce(F.sum("read_count"), F.lit(0)).cast("bigint").alias("reads"))
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> '' AND (i = 1 OR x[i] <> x[i - 1])))::BIGINT AS blocks FROM l")
+def consecutive_blocks(spark, d):
+    """The lines of a text without empty ones and those equal to the line before."""
+    x = F.split("text", "\n")
+    kept = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (F.element_at(x, i) != "") & ((i == 1) | (F.element_at(x, i) != F.element_at(x, F.greatest(i - 1, F.lit(1))))))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(kept).cast("bigint").alias("blocks"))
+
+
+@query("WITH p AS (SELECT scan_id, count(*) AS projects FROM projects GROUP BY 1), s AS (SELECT scan_id, created_at, coalesce(projects, 0) AS projects FROM scans LEFT JOIN p USING (scan_id)), b AS (SELECT scan_id, projects, lag(projects) OVER (ORDER BY created_at, scan_id) AS before FROM s) SELECT scan_id, projects, before, CASE WHEN before IS NULL THEN 'no_baseline' WHEN projects < before THEN 'regressed' WHEN projects > before THEN 'improved' ELSE 'stable' END AS status FROM b")
+def recall_status(spark, d):
+    """Each scan's yield against the scan before (scans are few)."""
+    p = table(spark, d, "projects").groupBy("scan_id").agg(F.count("*").alias("projects"))
+    s = table(spark, d, "scans").select("scan_id", "created_at").join(p, "scan_id", "left").withColumn("projects", F.coalesce("projects", F.lit(0)))
+    b = s.withColumn("before", F.lag("projects").over(W.orderBy("created_at", "scan_id")))
+    status = F.when(F.col("before").isNull(), "no_baseline").when(F.col("projects") < F.col("before"), "regressed").when(F.col("projects") > F.col("before"), "improved").otherwise("stable")
+    return b.select("scan_id", "projects", "before", status.alias("status"))
+
+
+@query("SELECT row_id, len(list_filter(['country', 'project_name', 'published_month'], lambda f: coalesce(json_extract_string(fields_json, '$.' || f), '') = ''))::BIGINT AS missing FROM projects")
+def missing_required(spark, d):
+    """How many of a project's required fields are empty."""
+    fields = ("country", "project_name", "published_month")
+    gone = [F.when(F.coalesce(F.get_json_object("fields_json", f"$.{f}"), F.lit("")) == "", 1).otherwise(0) for f in fields]
+    return table(spark, d, "projects").select("row_id", (gone[0] + gone[1] + gone[2]).cast("bigint").alias("missing"))
+
+
+@query("SELECT row_id, json_extract_string(fields_json, '$.country') AS country, json_extract_string(fields_json, '$.project_name') AS project_name, json_extract_string(fields_json, '$.owner') AS owner, json_extract_string(fields_json, '$.developer') AS developer, json_extract_string(fields_json, '$.epc') AS epc FROM projects")
+def export_columns(spark, d):
+    """The field map projected onto the export's columns."""
+    f = F.from_json("fields_json", "country string, project_name string, owner string, developer string, epc string")
+    return table(spark, d, "projects").select("row_id", f.alias("f")).select("row_id", "f.*")
+
+
+@query("SELECT article_id, title FROM dajiala_article WHERE fetched_at >= TIMESTAMP '2025-01-01' AND fetched_at < TIMESTAMP '2026-01-01' AND title <> '' AND url <> ''")
+def articles_in_window(spark, d):
+    """Articles of a date window with title and address; the window reaches the scan."""
+    return table(spark, d, "dajiala_article").where("fetched_at >= TIMESTAMP_NTZ '2025-01-01' AND fetched_at < TIMESTAMP_NTZ '2026-01-01' AND title <> '' AND url <> ''").select("article_id", "title")
+
+
+@query("SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS newest FROM events")
+def running_newest(spark, d):
+    """The running maximum of each key."""
+    return table(spark, d, "events").select("user_id", "event_id", F.max("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)).alias("newest"))
+
+
+@query("SELECT d.doc_id, d.canonical_url, d.title, s.source_name, d.published_at, length(d.text) AS chars FROM documents d LEFT JOIN sources s USING (source_id) WHERE d.text IS NOT NULL AND d.failure_code IS NULL")
+def fulltext_export(spark, d):
+    """The export's rows; narrow columns reach the scan."""
+    s = table(spark, d, "sources").select("source_id", "source_name")
+    return table(spark, d, "documents").where("text IS NOT NULL AND failure_code IS NULL").join(s, "source_id", "left").select("doc_id", "canonical_url", "title", "source_name", "published_at", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("SELECT s.scan_id, count(DISTINCT d.doc_id) AS documents, count(DISTINCT d.doc_id) FILTER (d.failure_code IS NOT NULL) AS failed, min(d.fetched_at) AS first_fetch, max(d.fetched_at) AS last_fetch FROM scans s LEFT JOIN documents d USING (scan_id) GROUP BY 1")
+def scan_progress(spark, d):
+    """Each scan's progress; documents are aggregated before the join."""
+    g = table(spark, d, "documents").groupBy("scan_id").agg(F.count("*").alias("documents"), F.count("failure_code").alias("failed"), F.min("fetched_at").alias("first_fetch"), F.max("fetched_at").alias("last_fetch"))
+    return table(spark, d, "scans").select("scan_id").join(g, "scan_id", "left").select("scan_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("failed", F.lit(0)).alias("failed"), "first_fetch", "last_fetch")
+
 
 @query()
 def resolve_entities(spark, d):
