@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ampora.llm import residue
 from ampora.llm.survivors import STAND_INS
 
 _STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
@@ -33,5 +34,20 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no FROM k JOIN c USING (s, key) JOIN
 """
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_LINE = rf"(?m)^[ \t]*(?:{residue.message_line()[:-len(residue._END)]}|{residue.filler_line()[:-len(residue._END)]}){residue._END}$"
+P6_FOUND = rf"""
+WITH d AS (SELECT doc_id, lower(text) AS low,
+    string_split(regexp_replace(regexp_replace(text, '(?s)```.*?```|~~~.*?~~~', ' ', 'g'), '`[^`\n]*`', ' ', 'g'), chr(10)) AS bare FROM documents WHERE text IS NOT NULL)
+SELECT doc_id FROM d
+WHERE len(list_filter(bare, lambda l: len(regexp_extract_all(l, {_quoted("|".join(residue.PLACEHOLDERS))})) > CASE WHEN regexp_matches(l, {_quoted(residue.TUTORIAL)}) THEN length(l) / 80.0 ELSE 0 END)) > 0
+   OR (regexp_matches(low, {_quoted(_LINE)})
+       AND len(list_filter(string_split(low, chr(10)), lambda l: (length(l) >= 120 OR length(regexp_replace(l, '[^\p{{Han}}]+', '', 'g')) >= 45) AND NOT regexp_full_match(l, {_quoted(residue.filler_line())}))) < {residue.ARTICLE_LINES})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND, "p7_found": P7_FOUND}
+    return {"p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
