@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampora.operators.unit_graph import Edge, UnitGraph, edge
+from ampora.session import spread
 
 # Spellings of the power units, by size.
 POWER_WORDS = {
@@ -253,7 +254,7 @@ def feed_amounts(feed: DataFrame, sources: DataFrame) -> DataFrame:
     src = sources.select("source_id", _stated("coverage").alias("_s")).select("source_id", F.col("_s.power").alias("_src_power"), F.col("_s.money").alias("_src_money"))
     # sources is a dimension with one row per feed; Spark broadcasts it while it is under the session's threshold.
     rows = feed.select("record_id", "source_id", "content", "capacity", "investment").where(F.coalesce("capacity", "investment").isNotNull())
-    rows = rows.withColumn("_c", _stated("content")).join(src.dropDuplicates(["source_id"]), "source_id", "left")
+    rows = spread(rows).withColumn("_c", _stated("content")).join(src.dropDuplicates(["source_id"]), "source_id", "left")
     out = []
     for field, kind in (("capacity", "power"), ("investment", "money")):
         part = rows.where(F.col(field).rlike(r"[0-9０-９]")).select(F.lit("project_intel").alias("table_name"), F.col("record_id").alias("row_key"), F.lit(field).alias("field"), F.col(field).alias("_text"), F.coalesce(F.col(f"_c.{kind}"), F.col(f"_src_{kind}")).alias("_unit_default"))
@@ -264,7 +265,7 @@ def feed_amounts(feed: DataFrame, sources: DataFrame) -> DataFrame:
 def project_amounts(projects: DataFrame) -> DataFrame:
     """Amounts of the three numeric fields of fields_json: ``table_name, row_key, field, unit, value``."""
     schema = ", ".join(f"{f} string" for f in PROJECT_UNITS)
-    fields = projects.select("row_id", F.from_json("fields_json", schema).alias("f"))
+    fields = spread(projects.select("row_id", "fields_json")).select("row_id", F.from_json("fields_json", schema).alias("f"))
     stack = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"f.{f}").alias("text"), F.lit(u).alias("unit")) for f, u in PROJECT_UNITS.items())))
     rows = fields.select(F.lit("projects").alias("table_name"), F.col("row_id").alias("row_key"), stack.alias("x")).select("table_name", "row_key", F.col("x.field").alias("field"), F.col("x.text").alias("_text"), F.col("x.unit").alias("_unit_default")).where(F.col("_text").rlike(r"[0-9０-９]"))
     return normalise_amounts(rows, "_text", "power", F.col("_unit_default")).select("table_name", "row_key", "field", "unit", "value")

@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: only an input of fewer partitions than cores (a single small file) is dealt out anew."""
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset."""
     sc = spark.sparkContext
