@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampora.llm import boilerplate, language, leakage, names, oracle, packing, repeats, residue, survivors
-from ampora.session import table
+from ampora.session import spread, table
+
+
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The texts with those columns, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with real content, with the numbers of their furniture lines."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "url", "title", "lang", "text").where("text IS NOT NULL")
+    documents = _texts(spark, sf_dir, "url", "title", "lang").where("text IS NOT NULL")
     good = residue.residue(documents).where("residue IS NULL").drop("residue")
     return boilerplate.furniture_lines(good, table(spark, sf_dir, "page_capture"))
 
@@ -35,22 +40,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without real content or with an unfilled template."""
-    return residue.found(table(spark, sf_dir, "documents"))
+    return residue.found(_texts(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line repeated in its source."""
-    return repeats.repeated_lines(table(spark, sf_dir, "documents"))
+    return repeats.repeated_lines(_texts(spark, sf_dir, "source_id"))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a container of each capacity."""
-    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+    return packing.containers(_texts(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the documents that repeat at least half of it."""
-    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.found(_texts(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
