@@ -284,7 +284,7 @@ _CANON = r"""regexp_replace(trim(url), '#.*$', '')"""
 
 
 @query(rf"""WITH a AS (SELECT doc_id, {_CANON} AS u FROM documents), b AS (SELECT doc_id, CASE WHEN regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN u ELSE 'https://' || u END AS u FROM a),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '([?&])(utm_[^=&]*|spm|from|source|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&]$', '') AS u FROM b)
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '(?i)([?&])(utm_[^=&]*|spm|from|source|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&]$', '') AS u FROM b)
 SELECT doc_id, CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE '' END AS canonical FROM c""")
 def canonical_urls(spark, d):
     """Addresses without fragment and tracking parameters."""
