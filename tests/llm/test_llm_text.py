@@ -139,6 +139,22 @@ def test_boilerplate(spark):
     assert main[1] == "Story z\nBy Ann Lee\n\n" + ARTICLE
 
 
+def test_regions_without_level_one_headings_come_from_the_alignment(spark):
+    plain = [page(i).replace("h1>", "p>") for i in range(6)]
+    pages = spark.createDataFrame([(f"p{i}", f"https://c.example/{i}", x) for i, x in enumerate(plain)], "raw_path string, url string, html string")
+    constants = {r["key"]: r["region"] for r in boilerplate.templates(pages).first()["constants"]}
+    assert constants == {"siteusescookies": 0, "home": 0, "contact": 0, "sharethis": 1, "mostread": 2, "imprint": 2}
+    text = "Home\nStory z\nBy Ann Lee\n" + ARTICLE + "\nShare this\nMost read\nOther q story\nImprint"
+    docs = spark.createDataFrame([(1, "https://c.example/9", "Story z", text)], "doc_id long, url string, title string, text string")
+    assert boilerplate.furniture_lines(docs, pages).first()["furniture"] == [1, 5, 6, 7, 8]
+
+
+def test_model_grows_by_what_aligns_with_nothing():
+    long, extra = boilerplate.parse(page(0)), boilerplate.parse(page(1, "<p>Advert</p>").replace("<p>Contact</p>", ""))
+    keys = [k for k, _ in boilerplate.leaves(boilerplate.grow([long, extra]))]
+    assert "contact" in keys and "advert" in keys and keys.count("home") == 1
+
+
 def test_tree_match():
     a, b = boilerplate.parse(page(0)), boilerplate.parse(page(1))
     same, other = boilerplate.tree_match(a, a), boilerplate.tree_match(a, b)
