@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampora.functions import text as X
-from ampora.operators import resolve
+from ampora.operators import resolve, units
 from ampora.session import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,9 +585,13 @@ def scan_progress(spark, d):
 
 @query()
 def resolve_entities(spark, d):
-    """Project rows resolved to entities by name, country, capacity and party (iterative, no SQL form)."""
+    """Project rows resolved to entities by name, country, capacities, party and address (iterative, no SQL form)."""
     get = lambda f: F.get_json_object("fields_json", f"$.{f}")
-    mentions = table(spark, d, "projects").select(F.col("row_id").alias("mention_id"), get("project_name").alias("name"), get("country").alias("country"), F.expr("try_cast(get_json_object(fields_json, '$.pv_capacity_mw') AS double)").alias("capacity"), get("developer").alias("party"))
+    t = table(spark, d, "projects")
+    # The stated amounts in kW and kWh, one column per field; of several the least.
+    stated = units.project_amounts(t).groupBy("row_key").agg(*[F.min(F.when(F.col("field") == field, F.col("value"))).alias(c) for c, field in (("capacity", "pv_capacity_mw"), ("storage_power", "storage_power_mw"), ("storage_energy", "storage_capacity_mwh"))])
+    owner = F.when(F.trim(get("owner")) != "", get("owner"))
+    mentions = t.select(F.col("row_id").alias("mention_id"), get("project_name").alias("name"), get("country").alias("country"), F.coalesce(owner, get("developer")).alias("party"), get("address").alias("address")).join(stated.withColumnRenamed("row_key", "mention_id"), "mention_id", "left")
     return resolve.resolve(mentions)
 
 

@@ -58,6 +58,42 @@ def test_resolve(spark):
     assert {comp[i] for i in range(41)} == {0} and comp[41] == 41
 
 
+def test_resolve_scores_all_terms_and_loses_no_pair(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(5)
+    pick = lambda *x: rnd.choice(x)
+    rows = [(1, "Kelmar Nord", "China", 10.0, None, None, "Olvik Grid", "Hafen"), (2, "Kelmar West Tal", "PR China", 10.2, None, None, "Olvik", "Alter Hafen"), (3, "Q", "Spain", None, 5.0, None, None, None), (4, "Very long Q7 name of a site", "Spain", None, None, None, None, None)]
+    for i in range(5, 120):
+        rows.append((i, " ".join(pick("Nord", "Tal", "Yengari", "Solar", "Bexgare", "哈登", "沙特哈登", "1", "x") for _ in range(rnd.randrange(1, 4))), pick("China", "PR China", "Spain", "TBD", None), pick(None, 10.0, 10.3, 50.0), pick(None, 5.0, 7.0), pick(None, 20.0), pick(None, "N/A", "Olvik", "Olvik Grid", "Ras"), pick(None, "Hafen", "Alter Hafen", "Tal 9")))
+    schema = "mention_id long, name string, country string, capacity double, storage_power double, storage_energy double, party string, address string"
+    got = {r["mention_id"]: r["entity_id"] for r in resolve.resolve(spark.createDataFrame(rows, schema)).collect()}
+
+    def holds(a, b):
+        return bool(a and b and (a in b or b in a))
+
+    def score(x, y):
+        (n, tn), (m, tm) = resolve.read(x[1]), resolve.read(y[1])
+        c, e = resolve.read(x[2])[0], resolve.read(y[2])[0]
+        if not n or not m or (c and e and not holds(c, e)):
+            return 0
+        g, h = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (n, m))
+        name = 1 if holds(n, m) else max(len(set(tn) & set(tm)) / max(1, len(set(tn) | set(tm))), 2 * len(g & h) / max(1, len(g) + len(h)))
+        both = [(p, q) for p, q in zip(x[3:6], y[3:6]) if p and q]
+        near = sum(abs(p - q) / max(p, q) <= 0.05 for p, q in both) / len(both) if both else 0
+        return 0.6 * name + 0.15 * bool(c and e) + 0.2 * near + 0.1 * sum(holds(resolve.read(x[k])[0], resolve.read(y[k])[0]) for k in (6, 7))
+
+    label = {r[0]: r[0] for r in rows}
+    for x, y in itertools.combinations(rows, 2):
+        if score(x, y) >= 0.58:
+            old, new = label[y[0]], label[x[0]]
+            label = {k: new if v == old else v for k, v in label.items()}
+    assert got[1] == got[2] and got[3] == got[4]
+    for x, y in itertools.combinations(label, 2):
+        assert (got[x] == got[y]) == (label[x] == label[y]), (rows[x - 1], rows[y - 1])
+
+
 def test_streaming(spark, tmp_path):
     events = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-01-01 11:00:00"), (3, "b", "2024-01-03 11:00:00")], "id long, url string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "in"))
