@@ -377,6 +377,40 @@ def quantity_extract(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.when(F.size(found) > 0, total).alias("mw"), F.size(found).cast("bigint").alias("n"))
 
 
+# A number, a multiplier and one of 16 units that no letter follows. RE2 has no lookahead, so the next character is taken too; a
+# mark before each number keeps it from being the next number's first digit.
+_UNIT = "kwh|mwh|gwh|twh|kw|mw|gw|tw|千瓦时|兆瓦时|吉瓦时|太瓦时|千瓦|兆瓦|吉瓦|太瓦"
+_QUANTITY = rf"(?i)[0-9][0-9,.]*[\s\x{{a0}}\x{{3000}}]*(?:thousand|million|billion|万|亿)?[\s\x{{a0}}\x{{3000}}]*(?:{_UNIT})(?:[^A-Za-z]|$)"
+
+
+@query(
+    rf"""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '([^0-9,.])([0-9])', '\1|\2', 'g'), '{_QUANTITY}'), lambda x: lower(x)) AS found FROM documents WHERE text IS NOT NULL),
+    v AS (SELECT doc_id, list_filter(list_transform(found, lambda x: {{'unit': regexp_extract(x, '{_UNIT}'), 'v': TRY_CAST(replace(regexp_extract(x, '[0-9][0-9,.]*'), ',', '') AS DOUBLE)
+        * CASE regexp_extract(x, 'thousand|million|billion|万|亿') WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN '万' THEN 1e4 WHEN '亿' THEN 1e8 ELSE 1e0 END
+        * CASE substr(regexp_extract(x, '{_UNIT}'), 1, 1) WHEN 'k' THEN 1e-3 WHEN '千' THEN 1e-3 WHEN 'g' THEN 1e3 WHEN '吉' THEN 1e3 WHEN 't' THEN 1e6 WHEN '太' THEN 1e6 ELSE 1e0 END}}), lambda q: q.v > 0) AS q FROM m)
+    SELECT doc_id, round(list_sum(list_transform(list_filter(q, lambda e: NOT regexp_matches(e.unit, 'h$|时$')), lambda e: e.v)), 3) AS power_mw, round(list_sum(list_transform(list_filter(q, lambda e: regexp_matches(e.unit, 'h$|时$')), lambda e: e.v)), 3) AS energy_mwh, len(q) AS n FROM v"""
+)
+def stated_quantities(spark, d):
+    """The power and the energy that a text states, in MW and MWh: numbers with multipliers in English and Chinese units."""
+    found = F.regexp_extract_all(F.regexp_replace("text", r"([^0-9,.])([0-9])", "$1|$2"), F.lit(_QUANTITY), F.lit(0))
+
+    def read(x):
+        x = F.lower(x)
+        unit, times = F.regexp_extract(x, f"({_UNIT})", 1), F.regexp_extract(x, "(thousand|million|billion|万|亿)", 1)
+        number = F.replace(F.regexp_extract(x, "([0-9][0-9,.]*)", 1), F.lit(","), F.lit("")).try_cast("double")
+        many = F.when(times == "thousand", 1e3).when(times == "million", 1e6).when(times == "billion", 1e9).when(times == "万", 1e4).when(times == "亿", 1e8).otherwise(1.0)
+        size = F.substring(unit, 1, 1)
+        factor = F.when(size.isin("k", "千"), 1e-3).when(size.isin("g", "吉"), 1e3).when(size.isin("t", "太"), 1e6).otherwise(1.0)
+        return F.struct(unit.rlike("h$|时$").alias("energy"), (number * many * factor).alias("v"))
+
+    def total(energy):
+        own = F.filter("q", lambda e: e["energy"] == F.lit(energy))
+        return F.when(F.size(own) > 0, F.round(F.aggregate(own, F.lit(0.0), lambda a, e: a + e["v"]), 3))
+
+    q = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.filter(F.transform(found, read), lambda e: e["v"] > 0).alias("q"))
+    return q.select("doc_id", total(False).alias("power_mw"), total(True).alias("energy_mwh"), F.size("q").cast("bigint").alias("n"))
+
+
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1 AS is_first FROM documents")
 def content_archive(spark, d):
     """Content addresses, and which document first wrote each."""

@@ -35,3 +35,16 @@ def test_same_as_sql(spark, duck, name):
     answer = duck.execute(catalogue.oracle_sql()[name])
     place = [[c[0] for c in answer.description].index(c) for c in columns]
     assert got == sorted(repr(tuple(plain(r[i]) for i in place)) for r in answer.fetchall())
+
+
+def test_stated_quantities_reads_whole_amounts(spark, tmp_path):
+    import duckdb as d
+
+    texts = ["1,200 MW and 1.5 MW", "5MW10GW", "2.5 million kWh, 3 MWh", "50万千瓦 与 12 兆瓦时", "7 MWp, 1.2.3 MW, 0 MW", "4 mw", None, "no amount"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in catalogue.queries()["stated_quantities"](spark, str(tmp_path)).collect()}
+    want = {0: (1201.5, None, 2), 1: (10005.0, None, 2), 2: (None, 2503.0, 2), 3: (500.0, 12.0, 2), 4: (None, None, 0), 5: (4.0, None, 1), 7: (None, None, 0)}
+    assert got == want
+    con = d.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: tuple(r[1:]) for r in con.execute(catalogue.oracle_sql()["stated_quantities"]).fetchall()} == want
