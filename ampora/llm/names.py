@@ -25,6 +25,7 @@ from ampora.session import cut_lineage
 
 Q, ROWS, SIMILARITY, RECALL = 2, 2, 0.4, 0.995
 MONGE_ELKAN = 0.8
+SLIP_SHARE = 0.25  # a core with at most this part of another's spellings may be its slip
 
 # Lines of business by the words that state them.
 BUSINESS = {
@@ -172,8 +173,8 @@ def _given(a: str, b: str) -> bool:
 def same_party(a: tuple, b: tuple, support_a: int, support_b: int) -> float:
     """The similarity of two names as read, 0 where they aren't the same party.
 
-    Cores that differ by letters are one only while one of them stands in a single spelling, as a slip does; two
-    cores with several spellings each are two parties.
+    Cores that differ by letters are one only while one of them stands in a single spelling or in few beside the other's,
+    as a slip does however many rows there are; two cores with comparable numbers of spellings are two parties.
     """
     kind, cls, x = a
     if kind != b[0]:
@@ -187,7 +188,7 @@ def same_party(a: tuple, b: tuple, support_a: int, support_b: int) -> float:
     if _joined(x) & _joined(y):
         return 1.0
     distance = min(edits(p, q) for p in _joined(x) for q in _joined(y))
-    if min(support_a, support_b) > 1:
+    if min(support_a, support_b) > max(1, SLIP_SHARE * max(support_a, support_b)):
         return 0.0
     if kind == "han":
         return 0.9 if distance == 1 and sorted(x[0]) == sorted(y[0]) else 0.0

@@ -41,5 +41,12 @@ def test_two_established_brands_stay_apart():
     assert names.same_party(a, b, 3, 5) == 0
 
 
+def test_a_slip_in_two_spellings_is_still_linked(spark):
+    forms = ["", " Ltd", " Limited", " Inc", " Corp", " JSC", " GmbH", " PLC", " LLC", " Group"]
+    rows = [f"Firrud Munttol Energy Holdings{x}" for x in forms[:2]] + [f"Firrud Muntol Energy Holdings{x}" for x in forms]
+    got = names.parties(spark.createDataFrame([(n,) for n in rows], "name string")).collect()
+    assert len(got) == 12 and len({r["party"] for r in got}) == 1
+
+
 def test_found_empty(spark):
     assert names.found(spark.createDataFrame([], "developer string, owner string, epc_contractor string")).count() == 0
