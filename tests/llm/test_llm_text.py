@@ -149,6 +149,14 @@ def test_regions_without_level_one_headings_come_from_the_alignment(spark):
     assert boilerplate.furniture_lines(docs, pages).first()["furniture"] == [1, 5, 6, 7, 8]
 
 
+def test_pages_with_a_long_common_beginning_are_articles_of_their_own(spark):
+    menu = "".join(f"<p>Section {w} of this site with news and views</p>" for w in ("wind", "solar", "grid", "storage", "hydrogen", "policy", "markets", "people", "regions", "tenders", "finance", "weather"))
+    plain = [page(i).replace("h1>", "p>").replace("<p>Home</p>", menu) for i in range(6)]
+    pages = spark.createDataFrame([(f"p{i}", f"https://d.example/{i}", x) for i, x in enumerate(plain)], "raw_path string, url string, html string")
+    constants = {r["key"]: r["region"] for r in boilerplate.templates(pages).first()["constants"]}
+    assert constants["contact"] == 0 and constants["imprint"] == 2 and len(constants) == 17
+
+
 def test_model_grows_by_what_aligns_with_nothing():
     long, extra = boilerplate.parse(page(0)), boilerplate.parse(page(1, "<p>Advert</p>").replace("<p>Contact</p>", ""))
     keys = [k for k, _ in boilerplate.leaves(boilerplate.grow([long, extra]))]
