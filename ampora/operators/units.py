@@ -83,7 +83,7 @@ def conversion_rows() -> list[tuple[str, str, str, str]]:
 def conversions(spark: SparkSession) -> DataFrame:
     """``unit, target, scale, offset``: one row per known unit."""
     rows = spark.createDataFrame(conversion_rows(), "unit string, target string, scale string, offset string")
-    return rows.select("unit", "target", F.col("scale").cast("decimal(20,6)").alias("scale"), F.col("offset").cast("decimal(20,6)").alias("offset"))
+    return rows.select("unit", "target", F.col("scale").cast("decimal(16,6)").alias("scale"), F.col("offset").cast("decimal(16,6)").alias("offset"))
 
 
 def _alternatives(words) -> str:
@@ -190,7 +190,7 @@ def stated_units(text: str | None) -> tuple[str | None, str | None]:
     power, _, currency, scale, _, _, in_power, in_money, _ = _patterns()
     found_power = found_money = None
     for sentence in _SENTENCE.split(_fold(text)):
-        if not sentence or re.search(r"\d", sentence) or len(sentence) > 120:
+        if not sentence or re.search(r"\d", sentence):
             continue
         if found_power is None and (m := in_power.search(sentence)):
             found_power = power[m["power"]] + ("h" if m["energy"] else "")
@@ -203,20 +203,16 @@ def stated_units(text: str | None) -> tuple[str | None, str | None]:
     return found_power, found_money
 
 
-AMOUNTS = T.ArrayType(T.StructType([T.StructField("number", T.DecimalType(24, 6)), T.StructField("unit", T.StringType())]))
+# Numbers travel as text in plain notation, so that neither their size nor their fraction is cut.
+AMOUNTS = T.ArrayType(T.StructType([T.StructField("number", T.StringType()), T.StructField("unit", T.StringType())]))
 
 
 def _amounts_udf(kind: str):
     @F.pandas_udf(AMOUNTS)
     def amounts(texts: pd.Series) -> pd.Series:
-        quantum = Decimal("0.000001")
-
         @lru_cache(100_000)
         def one(text):
-            try:
-                return [{"number": n.quantize(quantum), "unit": u} for n, u in find_amounts(text, kind) if n < 10**17]
-            except ArithmeticError:
-                return []
+            return [{"number": format(n, "f"), "unit": u} for n, u in find_amounts(text, kind)]
 
         return pd.Series([one(t) for t in texts])
 
@@ -232,8 +228,8 @@ def normalise_amounts(values: DataFrame, text: str, kind: str, default_unit: Col
     """``values`` with one row per amount that column ``text`` states: columns unit (canonical) and value (BIGINT) are added.
 
     ``default_unit`` is the unit of amounts that state none; amounts without any are left out, as are null and empty
-    texts and amounts whose unit isn't known. Halves are rounded away from zero. Equal amounts of one text come out as
-    often as stated; an empty table gives an empty one.
+    texts and amounts whose unit isn't known. Halves are rounded away from zero; an amount beyond BIGINT comes out with a
+    null value. Equal amounts of one text come out as often as stated; an empty table gives an empty one.
     """
     spark = values.sparkSession
     exploded = values.withColumn("_amount", F.explode(_amounts_udf(kind)(F.col(text)))).withColumn("_default", default_unit)
@@ -241,7 +237,9 @@ def normalise_amounts(values: DataFrame, text: str, kind: str, default_unit: Col
     unit = F.when(stated.endswith(" ?"), F.concat(F.regexp_extract(stated, r"^(\d+)", 1), F.lit(" "), F.regexp_extract("_default", r"([A-Z]{3})$", 1))).otherwise(F.coalesce(stated, "_default"))
     table = F.broadcast(conversions(spark).select(F.col("unit").alias("_unit"), F.col("target").alias("_target"), "scale", "offset"))
     joined = exploded.withColumn("_unit", unit).join(table, "_unit")
-    value = F.round(F.col("_amount.number") * F.col("scale") + F.col("offset"), 0).cast("bigint")
+    # 20 digits before the point and 18 after it hold any amount that fits BIGINT; what doesn't fit is null instead of an error.
+    number = F.col("_amount.number").try_cast("decimal(38,18)")
+    value = F.round(F.try_add(F.try_multiply(number, F.col("scale")), F.col("offset")), 0).try_cast("bigint")
     return joined.select(*values.columns, F.col("_target").alias("unit"), value.alias("value"))
 
 

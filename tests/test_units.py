@@ -2,6 +2,7 @@ from decimal import Decimal
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from ampora.operators import units
 from ampora.operators.unit_graph import UnitGraph, edge
@@ -67,3 +68,14 @@ def test_found(spark):
     got = {(r.table_name[:8], r.row_key, r.unit, r.value) for r in units.found(spark, feed, sources, projects).collect()}
     assert got == {("project_", 1, "kW", 10000), ("project_", 2, "kW", 5000000), ("project_", 2, "EUR", 12000000), ("project_", 4, "kW", 6000), ("project_", 4, "kWh", 1000), ("project_", 4, "USD", 500000000), ("projects", 9, "kW", 4200), ("projects", 9, "kWh", 78000)}
     assert units.found(spark, feed.limit(0), sources, projects.limit(0)).count() == 0
+
+
+def test_amounts_of_any_size_and_long_sentences(spark):
+    """Nothing aborts or vanishes: what exceeds BIGINT has a null value, small fractions and long sentences count."""
+    rows = [("99999999999999999 TW",), ("200000000000000000 W",), ("1" * 60 + " MW",), (None,), ("",)]
+    values = spark.createDataFrame(rows, "t string")
+    got = {r["t"]: r["value"] for r in units.normalise_amounts(values, "t", "power", F.lit(None).cast("string")).collect()}
+    assert got == {"99999999999999999 TW": None, "200000000000000000 W": 200_000_000_000_000, "1" * 60 + " MW": None}
+    money = spark.createDataFrame([("USD 0.0000004 bn",)], "t string")
+    assert [r["value"] for r in units.normalise_amounts(money, "t", "money", F.lit(None).cast("string")).collect()] == [400]
+    assert units.stated_units("all capacities " + "of the plants named in the tables of this very long note " * 4 + "are given in megawatts.") == ("mw", None)
