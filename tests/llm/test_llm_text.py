@@ -54,11 +54,22 @@ def test_repeats_against_brute_force(spark):
     assert repeats.repeated_lines(spark.createDataFrame([], "doc_id long, source_id string, text string")).count() == 0
 
 
-def test_chunks_do_not_depend_on_neighbours():
-    long = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong coffee for tired travellers"
-    a = repeats.cut(repeats.letters(f"x\n{long}\ny"))
-    b = repeats.cut(repeats.letters(f"{long}"))
-    assert set(b[1]) <= set(a[1]) and b[2][0] in a[2]
+def test_chunks_do_not_depend_on_lines_or_neighbours():
+    long = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong coffee for tired travellers and their horses"
+    chunks = lambda text: repeats.cut(repeats.letters(text), np.array([0]))[3].tolist()
+    whole = chunks(f"some words before {long} and some behind")
+    assert chunks(f"some words before {long} and some behind".replace(" ", "\n")) == whole
+    inner = set(chunks(long)[1:-1])
+    assert inner and inner <= set(whole)
+
+
+def test_repeated_chunks_count_across_line_ends(spark):
+    notice = "This passage about the rights of readers stands in all documents of the source, and each document breaks its lines elsewhere for no reason at all."
+    words = notice.split()
+    rows = [(i, "s", f"own {i}\n" + " ".join(words[: i + 2]) + "\n" + " ".join(words[i + 2 :]), "x") for i in range(8)]
+    lines = repeats.cut_documents(spark.createDataFrame(rows, "doc_id long, source_id string, text string, line string"))
+    assert {r["documents"] for r in repeats.repeated_chunks(lines).collect()} == {8}
+    assert repeats.repeated_lines(spark.createDataFrame(rows, "doc_id long, source_id string, text string, line string")).count() == 8  # "own"
 
 
 ITEM = "During the night shift two apprentices of the harbour office photographed the eastern ridge beside the old mill because the lender had serious doubts about every invoice that travelled by mule last winter"
@@ -84,25 +95,61 @@ def test_leakage(spark, text, hit):
     assert [tuple(r) for r in leakage.found(docs, items).collect()] == ([(1, 5)] if hit else [])
 
 
-def test_leakage_recall_against_brute_force():
+def _brute(doc: str, item: str) -> bool:
+    """Independent search: every diagonal, every pair of ends, words replaced at most one in twenty (one always)."""
+    t, x = leakage.tokens(doc), leakage.tokens(item)
+    for shift in range(-len(x), len(t)):
+        equal = [0 <= i + shift < len(t) and t[i + shift] == w for i, w in enumerate(x)]
+        for a in range(len(x)):
+            wrong = 0
+            for b in range(a, len(x)):
+                wrong += not equal[b]
+                n = b - a + 1
+                if equal[a] and equal[b] and n * 2 >= len(x) and wrong <= max(1, n / 20):
+                    return True
+    return False
+
+
+def test_leakage_against_brute_force():
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(400)]
-    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(28, 60)))) for k in range(60)]
-    import pandas as pd
-
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 60)))) for k in range(60)]
     docs, want = [], set()
-    for d in range(300):
+    for d in range(200):
         k, t = rnd.choice(items)
         own = t.split()
-        n = -(-len(own) * 6 // 10)
+        n = min(len(own), max(1, round(len(own) * rnd.choice([0.4, 0.5, 0.6]))))
         a = rnd.randrange(len(own) - n + 1)
         part = own[a : a + n]
-        part[rnd.randrange(2, n - 2)] = "zebra"
-        docs.append((d, " ".join([*rnd.choices(words, k=50), *part, *rnd.choices(words, k=50)])))
-        want.add((k, d))
-    found = pd.concat(list(leakage._search(items)(iter([pd.DataFrame(docs, columns=["doc_id", "text"])]))))
-    got = set(zip(found.item_id, found.doc_id))
-    assert len(got & want) / len(want) >= 0.98
+        part[rnd.randrange(n)] = "zebra"
+        docs.append(" ".join([*rnd.choices(words, k=20), *part, *rnd.choices(words, k=20)]))
+        want |= {(d, j) for j, x in items if _brute(docs[-1], x)}
+    got = {(d, k) for d, k, _ in leakage.Index(items).matches(docs)}
+    assert got <= want and len(got & want) / len(want) >= 0.99
+
+
+@pytest.mark.parametrize("place", range(20))
+def test_leaked_half_with_a_word_replaced_anywhere(place):
+    item = [f"v{i}" for i in range(40)]
+    part = item[10:31]  # 20 of 40 remain a match where the replaced word is the first or last
+    part[place] = "zebra"
+    text = " ".join(["a", *part, "b"])
+    assert [(d, k) for d, k, _ in leakage.Index([(7, " ".join(item))]).matches([text])] == [(0, 7)]
+
+
+def test_leakage_survives_repetitive_text_and_finds_shifted_words_with_indels():
+    item = "x " * 60
+    assert [k for _, k, _ in leakage.Index([(1, item)]).matches(["x " * 20_000])] == [1]
+    a = list(range(1, 41))
+    doc = [0, *a[:10], 99, *a[10:20], 0]
+    assert leakage.longest_match(doc, a, [(1, 0)]) == 10
+    assert leakage.longest_match(doc, a, [(1, 0)], indels=True) == 20
+
+
+def test_items_are_searched_in_blocks(spark):
+    docs = spark.createDataFrame([(1, ITEM), (2, ARTICLE)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, t) for k, t in enumerate([ITEM, "some other words of no document at all here", ITEM])], "item_id long, text string")
+    assert {(r[0], r[1]) for r in leakage.leaked(docs, items, block=1).collect()} == {(0, 1), (2, 1)}
 
 
 SAMPLES = [("en", "The battery section will store power and connect to the line near the coast. Local residents welcomed the plan."), ("es", "La planta dará servicio a unos hogares y ahorrará dióxido de carbono al año. Los vecinos recibieron bien el plan."), ("de", "Die Anlage versorgt rund tausend Haushalte und spart jährlich Kohlendioxid. Die Gewerkschaften bezweifelten den Plan."), ("zh", "根据购电协议，公司将在三年内出售全部电量，由当地配电企业统一收购。现场目前有施工队伍。")]
