@@ -38,6 +38,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.found(table(spark, sf_dir, "projects"), table(spark, sf_dir, "sources"))
 
 
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of each field of each project that is closest to the weighted consensus of its rows."""
+    projects = table(spark, sf_dir, "projects")
+    values = survivors.field_values(projects, table(spark, sf_dir, "sources"))
+    return survivors.several(survivors.consensus_survivors(values, survivors.record_weight()), projects)
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surviving record per project, with the rows that supply its fields."""
+    projects = table(spark, sf_dir, "projects")
+    best = survivors.several(survivors.survivors(survivors.field_values(projects, table(spark, sf_dir, "sources"))), projects)
+    return survivors.records(best).select("canonical_key", F.to_json("fields").alias("fields"), F.to_json("suppliers").alias("suppliers"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without real content or with an unfilled template."""
     return residue.found(_texts(spark, sf_dir))
@@ -64,7 +78,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

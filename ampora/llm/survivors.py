@@ -1,115 +1,179 @@
 """The surviving value of each field of a group of duplicate records.
 
-Token-level consensus: the distinct values of a group are aligned progressively, the weighted tokens of each column vote,
-and the existing value closest to the consensus survives. The weights follow the order of precedence (no
-conflict, evidence, trust, recency, row_id): a record outweighs all records after it together (weight 2^-rank), which makes the
-vote agree with that order and makes it associative. So groups are folded in two levels: values are pre-aggregated to
-their best record before the shuffle, and a group of many distinct values is split into about sqrt(n) salted blocks whose
-survivors are voted on again. No task holds an unbounded group.
+Token-level consensus (``consensus_survivors``): the distinct values of a group are aligned progressively, heaviest first, the
+weighted tokens of each column vote, and the existing value closest to the consensus survives. Equal values are summed before the
+shuffle; a group of more than ``BLOCK`` distinct values is voted on in salted blocks whose survivors, with their blocks' weight, are
+voted on again until one block is left, so no task holds an unbounded group.
+
+Where records stand in a total order of precedence in which each outweighs all after it together, the first has the majority
+in every column by itself and no vote can change it. ``survivors`` is that case: the best record of each group is a
+minimum, folded before the shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from fractions import Fraction
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampora.session import cut_lineage
+
 # Values that stand in for a missing one; fixed by the data's description and what it holds.
 STAND_INS = ("", "tbd", "tba", "unknown", "未知", "-", "?", "n/a", "na", "none", "null", "s/d", "k.a.", "—", "–", "--", "待定", "未披露", "to be confirmed", "not disclosed", "nan", "undefined", "n.d.", "...", "??", "不详", "暂无")
-BLOCK = 256  # distinct values voted on at once
+BLOCK = 256  # distinct values voted on at once, on average
+CELLS = 1 << 20  # of an alignment's table held at once; beyond, it is split in two
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
-def align(columns: list[list[str | None]], tokens: list[str]) -> list[int | None]:
-    """For each token the column that it goes to, None for a new one; columns keep their order (global alignment, match 1, rest 0)."""
-    n, m = len(columns), len(tokens)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    sets = [set(c) for c in columns]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            score[i][j] = max(score[i + 1][j], score[i][j + 1], score[i + 1][j + 1] + (tokens[j] in sets[i]))
-    out, i, j = [], 0, 0
-    while j < m:
-        if i < n and tokens[j] in sets[i] and score[i][j] == score[i + 1][j + 1] + 1:
-            out.append(i)
-            i, j = i + 1, j + 1
-        elif i < n and score[i][j] == score[i + 1][j]:
-            i += 1
+def _lengths(rows: list[np.ndarray]) -> np.ndarray:
+    """The last row of the table of longest common subsequences; ``rows`` say which tokens each column holds."""
+    before = np.zeros(len(rows[0]) + 1, dtype=np.int64)
+    for row in rows:
+        now = before.copy()
+        np.maximum(before[1:], before[:-1] + row, out=now[1:])
+        before = np.maximum.accumulate(now)
+    return before
+
+
+def _pairs(rows: list[np.ndarray], i: int, j: int, out: list[tuple[int, int]]) -> None:
+    """Appends the (column, token) pairs of a longest common subsequence, in order; splits large tables (linear memory)."""
+    n, m = len(rows), len(rows[0]) if rows else 0
+    if not n or not m:
+        return
+    if n * m > CELLS and n > 1:
+        half = n // 2
+        left = _lengths(rows[:half])
+        right = _lengths([r[::-1] for r in rows[half:][::-1]])[::-1]
+        at = int((left + right).argmax())
+        _pairs([r[:at] for r in rows[:half]], i, j, out)
+        _pairs([r[at:] for r in rows[half:]], i + half, j + at, out)
+        return
+    table = np.zeros((n + 1, m + 1), dtype=np.int32)
+    for k, row in enumerate(rows):
+        np.maximum(table[k, 1:], table[k, :-1] + row, out=table[k + 1, 1:])
+        np.maximum.accumulate(table[k + 1], out=table[k + 1])
+    found, x, y = [], n, m
+    while x and y:
+        if table[x, y] == table[x - 1, y]:
+            x -= 1
+        elif table[x, y] == table[x, y - 1]:
+            y -= 1
         else:
-            out.append(None)
-            j += 1
+            x, y = x - 1, y - 1
+            found.append((i + x, j + y))
+    out += found[::-1]
+
+
+def align(columns: list[set[int]], tokens: list[int]) -> list[int | None]:
+    """For each token the column that it goes to, None for a new one; columns keep their order (longest common subsequence)."""
+    out: list[int | None] = [None] * len(tokens)
+    low = 0
+    while low < min(len(columns), len(tokens)) and tokens[low] in columns[low]:  # equal beginnings need no table
+        out[low] = low
+        low += 1
+    array = np.array(tokens[low:], dtype=np.int64)
+    pairs: list[tuple[int, int]] = []
+    if len(array) and low < len(columns):
+        _pairs([np.isin(array, list(c)) for c in columns[low:]], low, low, pairs)
+    for column, token in pairs:
+        out[token] = column
     return out
 
 
-def consensus(values: list[list[str]]) -> list[str]:
-    """The consensus of token lists given in order of precedence; list k weighs 2^-k."""
-    columns: list[list[str | None]] = []
-    for k, tokens in enumerate(values):
-        placed = align(columns, tokens)
-        merged: list[list[str | None]] = []
-        at = 0
-        for token, where in zip(tokens, placed):
+def consensus(values: list[list[str]], weights: list[float]) -> list[str]:
+    """The consensus of token lists: progressive alignment in their order, then a weighted vote per column; ties go to the earlier value."""
+    ids: dict[str, int] = {}
+    columns: list[dict[int, float]] = []  # per column the votes of its tokens, those of the earlier values first
+    in_first: list[bool] = []
+    for tokens, weight in zip(values, weights):
+        coded = [ids.setdefault(t, len(ids)) for t in tokens]
+        first = not columns
+        merged, old, at = [], [], 0
+        for token, where in zip(coded, align([set(c) for c in columns], coded)):
             if where is None:
-                merged.append([None] * k + [token])
+                merged.append({token: weight})
+                old.append(first)
                 continue
-            while at < where:
-                merged.append(columns[at] + [None])
-                at += 1
-            merged.append(columns[at] + [token])
-            at += 1
-        merged += [c + [None] for c in columns[at:]]
-        columns = merged
-    out = []
-    for column in columns:
-        votes: dict[str | None, Fraction] = {}
-        for k, token in enumerate(column):
-            votes[token] = votes.get(token, Fraction(0)) + Fraction(1, 2**k)
+            merged += columns[at : where + 1]
+            old += in_first[at : where + 1]
+            merged[-1][token] = merged[-1].get(token, 0.0) + weight
+            at = where + 1
+        columns, in_first = merged + columns[at:], old + in_first[at:]
+    total, words, out = sum(weights), list(ids), []
+    for votes, mine in zip(columns, in_first):
         best = max(votes, key=votes.__getitem__)
-        if best is not None:
-            out.append(best)
+        missing = total - sum(votes.values())
+        if votes[best] > missing or votes[best] == missing and mine:
+            out.append(words[best])
     return out
 
 
 def _distance(a: list[str], b: list[str]) -> int:
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
-        before = now
-    return before[-1]
-
-
-def closest(values: list[str]) -> int:
-    """The place of the value closest to the consensus of ``values``, which stand in order of precedence; ties go to the first."""
+    ids: dict[str, int] = defaultdict(lambda: len(ids))
+    x, y = [ids[t] for t in a], np.array([ids[t] for t in b], dtype=np.int64)
+    steps = np.arange(len(y) + 1)
+    before = steps.copy()
+    for i, token in enumerate(x, 1):
+        now = np.empty_like(before)
+        now[0] = i
+        np.minimum(before[1:] + 1, before[:-1] + (y != token), out=now[1:])
+        before = np.minimum.accumulate(now - steps) + steps
+    return int(before[-1])
+
+
+def closest(values: list[str], weights: list[float]) -> int:
+    """The place of the value closest to the consensus of ``values``; ties go to the heavier, then to the first."""
     if len(values) == 1:
         return 0
     tokens = [_TOKEN.findall(v) or [v] for v in values]
-    agreed = consensus(tokens)
-    if agreed == tokens[0]:
-        return 0
-    return min(range(len(values)), key=lambda k: (_distance(tokens[k], agreed), k))
+    order = sorted(range(len(values)), key=lambda k: (-weights[k], k))
+    agreed = consensus([tokens[k] for k in order], [weights[k] for k in order])
+    return min(order, key=lambda k: (_distance(tokens[k], agreed), -weights[k], k))
 
 
 @F.pandas_udf(T.IntegerType())
-def _closest(values: pd.Series) -> pd.Series:
-    return pd.Series([closest(list(v)) for v in values], dtype="int32")
+def _closest(values: pd.Series, weights: pd.Series) -> pd.Series:
+    return pd.Series([closest(list(v), list(w)) for v, w in zip(values, weights)], dtype="int32")
 
 
 def _vote(values: DataFrame, keys: list[str]) -> DataFrame:
-    """One survivor per group of ``keys``; values have columns value and rank (a struct that sorts by precedence)."""
+    """One survivor per group of ``keys``, with the group's weight; values have columns value, weight and rank."""
     # The number of values of a group is bounded by the caller.
-    groups = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("g"))
+    groups = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "weight"))).alias("g"), F.sum("weight").alias("weight"))
     # One value needs no vote, and no trip to Python.
-    many = groups.where(F.size("g") > 1).withColumn("i", _closest(F.transform("g", lambda x: x["value"])))
+    pick = lambda name: F.transform("g", lambda x: x[name])
+    many = groups.where(F.size("g") > 1).withColumn("i", _closest(pick("value"), pick("weight")))
     one = groups.where(F.size("g") == 1).withColumn("i", F.lit(0))
     best = F.element_at("g", F.col("i") + 1)
-    return many.unionByName(one).select(*keys, best["value"].alias("value"), best["rank"].alias("rank"))
+    return many.unionByName(one).select(*keys, best["value"].alias("value"), best["rank"].alias("rank"), "weight")
+
+
+KEYS = ["canonical_key", "field"]
+
+
+def consensus_survivors(values: DataFrame, weight: Column) -> DataFrame:
+    """``canonical_key, field, row_id, value`` of the existing value closest to the weighted consensus of each group.
+
+    ``weight`` is a positive number per row of ``values`` (see ``field_values``). Null, blank and stand-in values never survive; equal
+    values vote together and are supplied by their best record; a group without a real value gives no row; ties go to the
+    better record. Above ``BLOCK`` distinct values the consensus is one of blocks.
+    """
+    left = values.groupBy(*KEYS, "value").agg(F.sum(weight.cast("double")).alias("weight"), F.min("rank").alias("rank"))
+    left = cut_lineage(left)
+    while True:
+        sizes = left.groupBy(*KEYS).count().where(F.col("count") > BLOCK).select(*KEYS, F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks"))
+        sizes = cut_lineage(sizes)
+        if sizes.isEmpty():
+            return _vote(left, KEYS).select(*KEYS, F.col("rank.row_id").alias("row_id"), "value")
+        # Only the large groups are dealt out and voted on in blocks; the others wait for the last vote.
+        salted = left.join(sizes, KEYS).withColumn("_block", F.pmod(F.xxhash64("value", "rank"), F.col("_blocks")))
+        left = cut_lineage(left.join(sizes, KEYS, "left_anti").unionByName(_vote(salted, [*KEYS, "_block"]).drop("_block")))
 
 
 def field_values(projects: DataFrame, sources: DataFrame) -> DataFrame:
@@ -139,23 +203,37 @@ def field_values(projects: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def survivors(values: DataFrame) -> DataFrame:
-    """``canonical_key, field, row_id, value`` of the surviving value of each group.
+    """``canonical_key, field, row_id, value`` of the value of the first record of each group, in order of ``rank``.
 
-    Null, blank and stand-in values never survive; a group without a real value gives no row; equal values count once, by
-    their best record; extra columns are ignored.
+    Null, blank and stand-in values never survive; a group without a real value gives no row; extra columns are ignored.
     """
-    keys = ["canonical_key", "field"]
-    distinct = values.groupBy(*keys, "value").agg(F.min("rank").alias("rank"))
-    sizes = distinct.groupBy(*keys).count().where(F.col("count") > BLOCK).select(*keys, F.ceil(F.sqrt("count")).cast("int").alias("_blocks"))
-    salted = distinct.join(sizes, keys, "left").withColumn("_block", F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("value"), F.col("_blocks"))))
-    first = _vote(salted, [*keys, "_block"])
-    return _vote(first, keys).select(*keys, F.col("rank.row_id").alias("row_id"), "value")
+    best = values.groupBy(*KEYS).agg(F.min(F.struct("rank", "value")).alias("best"))
+    return best.select(*KEYS, F.col("best.rank.row_id").alias("row_id"), F.col("best.value").alias("value"))
 
 
-def found(projects: DataFrame, sources: DataFrame) -> DataFrame:
-    """``canonical_key, field, row_id`` of every key with at least two rows.
+def several(found: DataFrame, projects: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose key stands in at least two rows of ``projects``.
 
     The keys are chosen after the fold, when each has a row per field, so that a hot key never meets a join as rows.
     """
-    several = projects.groupBy("canonical_key").count().where("count > 1").select("canonical_key")
-    return survivors(field_values(projects, sources)).join(several, "canonical_key", "left_semi").select("canonical_key", "field", "row_id")
+    keys = projects.groupBy("canonical_key").count().where("count > 1").select("canonical_key")
+    return found.join(keys, "canonical_key", "left_semi")
+
+
+def record_weight() -> Column:
+    """The weight of a record's value in a vote: its source's trust, double with evidence, a quarter in conflict."""
+    rank = F.col("rank")
+    return (1.0 - rank["distrust"]) * F.when(rank["no_evidence"], 1.0).otherwise(2.0) * F.when(rank["in_conflict"], 0.25).otherwise(1.0)
+
+
+def records(found: DataFrame) -> DataFrame:
+    """``canonical_key, fields, suppliers``: one surviving record per key, its fields and the rows that supply them."""
+    # A key has one row per field id, so its list is bounded by the number of fields.
+    pairs = found.groupBy("canonical_key").agg(F.array_sort(F.collect_list(F.struct("field", "value", "row_id"))).alias("f"))
+    as_map = lambda name: F.map_from_arrays(F.transform("f", lambda x: x["field"]), F.transform("f", lambda x: x[name]))
+    return pairs.select("canonical_key", as_map("value").alias("fields"), as_map("row_id").alias("suppliers"))
+
+
+def found(projects: DataFrame, sources: DataFrame) -> DataFrame:
+    """``canonical_key, field, row_id`` of every key with at least two rows."""
+    return several(survivors(field_values(projects, sources)), projects).select("canonical_key", "field", "row_id")

@@ -4,9 +4,48 @@ from ampora.llm import survivors as s
 
 
 def test_alignment_and_consensus():
-    assert s.consensus([["a", "b", "c"], ["a", "c"], ["x", "b", "c", "d"]]) == ["a", "b", "c"]
-    assert s.consensus([["a"], ["b"], ["b"]]) == ["a"]  # the first outweighs all others together
-    assert s.closest(["one value"]) == 0
+    assert s.consensus([["a", "b", "c"], ["a", "c"], ["x", "b", "c", "d"]], [1, 1, 1]) == ["a", "b", "c"]
+    assert s.consensus([["a"], ["b"], ["b"]], [1, 1, 1]) == ["b"]
+    assert s.consensus([["a"], ["b"], ["b"]], [4, 2, 1]) == ["a"]  # the first outweighs all others together
+    assert s.closest(["one value"], [1.0]) == 0
+    assert s.closest(["North Wind Farm", "North Wind Farm Ltd", "Nort Wind Farm Ltd"], [1.0, 1.0, 1.0]) == 1
+    assert s.closest(["a b", "c d"], [1.0, 1.0]) == 0
+
+
+def test_split_alignment_is_as_long(monkeypatch):
+    rnd = random.Random(2)
+    columns = [{rnd.randrange(6)} for _ in range(60)]
+    tokens = [rnd.randrange(6) for _ in range(50)]
+    whole = s.align(columns, tokens)
+    monkeypatch.setattr(s, "CELLS", 16)
+    split = s.align(columns, tokens)
+    for placed in (whole, split):
+        used = [c for c in placed if c is not None]
+        assert used == sorted(set(used)) and all(t in columns[c] for t, c in zip(tokens, placed) if c is not None)
+    assert sum(c is not None for c in whole) == sum(c is not None for c in split)
+
+
+def test_dominant_weights_choose_the_first_and_others_do_not():
+    """With weights in which each value outweighs all after it the vote is the order of precedence; with equal ones it isn't."""
+    rnd = random.Random(7)
+    differ = 0
+    for _ in range(200):
+        values = list(dict.fromkeys(" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 6))) for _ in range(5)))
+        n = len(values)
+        assert s.closest(values, [2.0 ** (n - k) for k in range(n)]) == 0
+        differ += s.closest(values, [1.0] * n) != 0
+    assert differ > 20
+
+
+def test_consensus_survivors_of_hot_groups(spark):
+    rows = []
+    for i in range(900):  # 300 distinct slips of one name, more than a block, against the name itself
+        value = "North Harbour Wind Farm" if i % 3 else f"North Harbour {i} Wind Farm"
+        rows.append(("hot", "name", value, (False, False, -1, 0, i), "x"))
+    rows += [("k", "name", "Alpha Solar Park", (False, False, -1, 0, 1000), "x"), ("k", "name", "Alpha Solar", (False, False, -1, 0, 1001), "x"), ("k", "name", "Alpha Solar Park", (False, False, -5, 0, 1002), "x")]
+    schema = "canonical_key string, field string, value string, rank struct<in_conflict:boolean,no_evidence:boolean,distrust:int,age:bigint,row_id:bigint>, weight string"
+    got = {r.canonical_key: (r.row_id, r.value) for r in s.consensus_survivors(spark.createDataFrame(rows, schema).drop("weight"), s.record_weight()).collect()}
+    assert got == {"hot": (1, "North Harbour Wind Farm"), "k": (1002, "Alpha Solar Park")}
 
 
 def brute(rows):
