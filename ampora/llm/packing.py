@@ -3,7 +3,8 @@
 Vector bin packing by the dot-product heuristic: an open container takes, of all pieces that fit its three remaining limits
 (tokens, segments, loss-bearing tokens), the one whose demand has the largest dot product with what remains, until none
 fits. A text is one piece unless it is longer than a container; then it is cut into full containers and a rest, which is
-packed like any other. Pieces are dealt to shards by a hash, about ``SHARD`` to each, so that a task packs a bounded number
+packed like any other. A container of instruction data has limits of its own on segments (attention blocks) and on loss-bearing
+tokens (answers): ``min_segment`` and ``loss_share`` say how many of each a capacity allows. Pieces are dealt to shards by a hash, about ``SHARD`` to each, so that a task packs a bounded number
 whatever the corpus; the space lost by that is at most part of one container in each shard.
 """
 
@@ -16,18 +17,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ampora.session import cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD = 4096
-MIN_SEGMENT = 16  # tokens per segment that the limit on segments allows for: capacity // MIN_SEGMENT segments
+MIN_SEGMENT = 128  # tokens per segment that the limit on segments allows for: capacity // MIN_SEGMENT segments
+LOSS_SHARE = 0.98  # of the capacity that may be loss-bearing
 
 PLACED = "spec_id int, container_id long, doc_id long, piece int, first_token long, tokens long"
 
 
 @lru_cache(4)
 def encoding(path: str):
-    """The byte-level BPE of a rank file."""
+    """The byte-level BPE of a rank file; the split pattern is that of the ``public_tokenizers`` module beside it, where installed."""
     import base64
 
     import tiktoken
@@ -63,13 +66,15 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     n = len(demand)
     out = np.full(n, -1, dtype=np.int64)
     share = demand / limits
-    order = np.argsort(-share[:, 0], kind="stable")
-    left, w = order, share[order]
-    container = 0
+    left = np.argsort(-share[:, 0], kind="stable")
+    w = np.ascontiguousarray(share[left])
+    container, opened = 0, False
     free = np.ones(demand.shape[1])
-    opened = False
     while len(left):
-        fits = (w <= free + 1e-12).all(axis=1)
+        # Pieces stand by size, so those whose tokens fit are the last ones.
+        start = int(np.searchsorted(-w[:, 0], -(free[0] + 1e-12), side="left"))
+        rest = w[start:]
+        fits = (rest[:, 1:] <= free[1:] + 1e-12).all(axis=1)
         if not fits.any():
             if not opened:  # a piece that fits no container stands alone
                 out[left[0]] = container
@@ -77,38 +82,42 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
             container += 1
             free, opened = np.ones(demand.shape[1]), False
             continue
-        score = np.where(fits, w @ free, -1.0)
-        i = int(score.argmax())
+        i = start + int(np.where(fits, rest @ free, -1.0).argmax())
         out[left[i]] = container
         free = free - w[i]
         opened = True
-        keep = np.ones(len(left), dtype=bool)
-        keep[i] = False
-        left, w = left[keep], w[keep]
+        left, w = np.delete(left, i), np.delete(w, i, axis=0)
     return out
 
 
-def _pack(batch: pd.DataFrame) -> pd.DataFrame:
-    batch = batch.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
-    capacity = int(batch["capacity"].iloc[0])
-    limits = np.array([capacity, max(1, capacity // MIN_SEGMENT), capacity], dtype=float)
-    demand = np.stack([batch["tokens"], np.ones(len(batch)), batch["loss"]], axis=1).astype(float)
-    container = pack(demand, limits)
-    # The full containers that the pieces before the rest of a long text fill.
-    whole = batch["piece"].to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(batch)), whole)
-    piece = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
-    ids = np.concatenate([container, container.max() + 1 + np.arange(len(owner))])
-    rows = np.concatenate([np.arange(len(batch)), owner])
-    pieces = np.concatenate([whole, piece])
-    tokens = np.concatenate([batch["tokens"].to_numpy(), np.full(len(owner), capacity)])
-    return pd.DataFrame({"spec_id": batch["spec_id"].to_numpy()[rows], "container_id": ids * (1 << 24) + int(batch["shard"].iloc[0]), "doc_id": batch["doc_id"].to_numpy()[rows], "piece": pieces, "first_token": pieces * capacity, "tokens": tokens})
-
-
-def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def limits_of(capacity: int, min_segment: int = MIN_SEGMENT, loss_share: float = LOSS_SHARE) -> np.ndarray:
+    """The limits of a container: tokens, segments, loss-bearing tokens."""
+    return np.array([capacity, max(1, capacity // min_segment), max(1.0, capacity * loss_share)], dtype=float)
+
+
+def _packer(min_segment: int, loss_share: float):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        capacity = int(batch["capacity"].iloc[0])
+        demand = np.stack([batch["tokens"], np.ones(len(batch)), batch["loss"]], axis=1).astype(float)
+        container = pack(demand, limits_of(capacity, min_segment, loss_share))
+        # The full containers that the pieces before the rest of a long text fill.
+        whole = batch["piece"].to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(batch)), whole)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+        ids = np.concatenate([container, container.max() + 1 + np.arange(len(owner))])
+        rows = np.concatenate([np.arange(len(batch)), owner])
+        pieces = np.concatenate([whole, piece])
+        tokens = np.concatenate([batch["tokens"].to_numpy(), np.full(len(owner), capacity)])
+        return pd.DataFrame({"spec_id": batch["spec_id"].to_numpy()[rows], "container_id": ids * (1 << 24) + int(batch["shard"].iloc[0]), "doc_id": batch["doc_id"].to_numpy()[rows], "piece": pieces, "first_token": pieces * capacity, "tokens": tokens})
+
+    return run
+
+
+def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER, min_segment: int = MIN_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
     """``spec_id, container_id, doc_id, piece, first_token, tokens``: the containers of each capacity.
 
-    Every token of every text stands in one container of each spec; empty texts take a segment without tokens; equal texts
+    Every token of every text stands in one container of each spec; a text or part of one that breaks a limit by itself stands alone; empty texts take a segment without tokens; equal texts
     are packed each. ``specs`` is a short list of capacities. An empty table gives an empty one. Copies of a container number
     within a spec don't occur: it names the shard and the container in it.
     """
@@ -116,7 +125,8 @@ def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZE
     counted = token_counts(documents, tokenizer)
     if not wanted:
         return counted.sparkSession.createDataFrame([], PLACED)
-    total = documents.where(F.col("text").isNotNull()).count()
+    counted = cut_lineage(counted)  # three numbers a text; the texts are read once
+    total = counted.count()
     shards = max(1, -(-total // SHARD))
     spec = F.explode(F.array(*(F.struct(F.lit(s).alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for s, c in wanted)))
     each = counted.select("doc_id", "tokens", "loss", spec.alias("s")).select("s.*", "doc_id", "tokens", "loss")
@@ -124,7 +134,9 @@ def containers(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZE
     whole = F.when(F.col("tokens") > F.col("capacity"), F.floor((F.col("tokens") - 1) / F.col("capacity"))).otherwise(0).cast("int")
     rest = F.col("tokens") - F.col("_whole") * F.col("capacity")
     pieces = each.withColumn("_whole", whole).select("spec_id", "capacity", "doc_id", F.col("_whole").alias("piece"), rest.alias("tokens"), F.least(F.col("loss"), rest).alias("loss"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    return pieces.groupBy("spec_id", "shard").applyInPandas(_pack, PLACED)
+    # A fixed number of partitions: groups are small but take their time, so they mustn't be merged by size.
+    dealt = pieces.repartition(2 * shards * len(wanted), "spec_id", "shard")
+    return dealt.groupBy("spec_id", "shard").applyInPandas(_packer(min_segment, loss_share), PLACED)
 
 
 def fill(placed: DataFrame, specs: DataFrame) -> DataFrame:

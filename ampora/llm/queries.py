@@ -67,6 +67,11 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_texts(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p8_containers(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the documents that repeat at least half of it."""
     return leakage.found(_texts(spark, sf_dir), table(spark, sf_dir, "eval_items"))
@@ -78,7 +83,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

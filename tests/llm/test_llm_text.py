@@ -226,6 +226,13 @@ def test_pack_limits_and_round_trip(spark, monkeypatch):
     lower = np.ceil((demand.sum(axis=0) / [100, 6, 80]).max())
     assert len(sums) <= 1.25 * lower + 2
 
+    # Each of the three limits alone stops a container.
+    for k, one in enumerate(([60, 1, 1], [1, 1, 1], [1, 1, 50])):
+        n = [2, 7, 2][k]
+        where = packing.pack(np.array([one] * n, dtype=float), np.array([100.0, 6, 80]))
+        assert sorted(np.bincount(where)) == [1, n - 1]
+    assert packing.limits_of(512).tolist() == [512, 4, 512 * 0.98]
+
     class Words:
         def encode_ordinary(self, t):
             return t.split()
