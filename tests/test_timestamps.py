@@ -1,6 +1,9 @@
 import itertools
+import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ampora.operators import timestamps as ts
 
@@ -37,18 +40,67 @@ def test_invalid_values(value):
     assert ts.interpretations(value, "UTC", "dmy") == []
 
 
+def _random_candidates(rnd, n):
+    texts = lambda: rnd.choice([f"{rnd.randrange(1, 29):02d}/{rnd.randrange(1, 13):02d}/2024", f"2024-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}", f"{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 13):02d}-2024 10:00", f"{rnd.randrange(10, 29)}/13/2024"])
+    return [c for c in (ts.interpretations(texts(), "UTC", rnd.choice([None, None, "dmy", "mdy"])) for _ in range(n)) if c]
+
+
+def _cost(path):
+    return sum(c[3] for c in path) + sum(ts._step(a, b) for a, b in itertools.pairwise(path))
+
+
 def test_viterbi_matches_brute_force():
-    values = [("01/02/2024", None), ("2024-02-03", "ymd"), ("05/02/2024", None), ("02/06/2024", None), ("07/02/2024", None), ("2024-02-09", "ymd"), ("10/02/2024", None)]
-    candidates = [ts.interpretations(v, "UTC", None) for v, _ in values]
-    assert any(len(c) > 1 for c in candidates)
-    path, got = ts.Viterbi(), []
-    for i, c in enumerate(candidates):
-        got += path.push(i, c)
-    got += path.end()
-    cost = lambda seq: sum(c[3] for c in seq) + sum(ts._step(a, b) for a, b in itertools.pairwise(seq))
-    best = min(itertools.product(*candidates), key=cost)
-    assert [k for k, _ in got] == list(range(len(values)))
-    assert cost([c for _, c in got]) == pytest.approx(cost(best))
+    rnd = random.Random(4)
+    for _ in range(60):
+        candidates = _random_candidates(rnd, 8)
+        path, got = ts.Viterbi(), []
+        for i, c in enumerate(candidates):
+            got += path.push(i, c)
+        got += path.end()
+        assert [k for k, _ in got] == list(range(len(candidates)))
+        assert _cost([c for _, c in got]) == min(map(_cost, itertools.product(*candidates)), default=0)
+
+
+def test_borders_do_not_change_the_cheapest_path():
+    """A chain cut anywhere, each piece decided with the composed costs of the others, is as cheap as the whole."""
+    rnd = random.Random(9)
+    for _ in range(40):
+        candidates = _random_candidates(rnd, 30)
+        whole, path = [], ts.Viterbi()
+        for i, c in enumerate(candidates):
+            whole += path.push(i, c)
+        whole += path.end()
+        cuts = sorted({0, len(candidates), *(rnd.randrange(len(candidates) + 1) for _ in range(4))})
+        pieces = [candidates[a:b] for a, b in itertools.pairwise(cuts)]
+        rows = []
+        for part, piece in enumerate(pieces):
+            segment = ts.Segment(piece[0])
+            for c in piece[1:]:
+                segment.push(c)
+            ends = lambda cs: [[c[0], c[1]] for c in cs]
+            rows.append((part, 0, 5, json.dumps([ends(segment.first), ends(segment.last), segment.matrix()])))
+        borders, got = ts.compose(rows), []
+        for part, piece in enumerate(pieces):
+            mine = borders.get(part, {})
+            path = ts.Viterbi(mine.get("before", (5, None))[1])
+            for c in piece:
+                got += path.push(None, c)
+            got += path.end(mine.get("behind", (5, None))[1])
+        assert _cost([c for _, c in got]) == _cost([c for _, c in whole])
+
+
+def test_order_is_declared_or_follows_from_the_sequence(spark):
+    # 02/03 then 04/03 ... in a source without a declared order: the days run on only when read day first.
+    rows = [(i, f"{1 + i:02d}/03/2024" if i < 28 else f"{i - 27:02d}/04/2024", s, f"2024-{i:03d}") for s in ("none", "mdy", "dmy") for i in range(40)]
+    values = ts.time_values(spark.createDataFrame(rows, "k long, v string, s string, t string"), "t", "k", ["v"], "s", "t").withColumn("o", F.when(F.col("_source") != "none", F.col("_source")))
+    results = []
+    for partitions in (1, 4, 40):
+        got = ts.normalise_times(values.withColumn("row_key", F.col("row_key") + F.when(F.col("o") == "mdy", 1000).when(F.col("o") == "dmy", 2000).otherwise(0)), F.lit("UTC"), F.col("o"), partitions).collect()
+        results.append({r.row_key: r.normalised for r in got})
+    assert results[0] == results[1] == results[2]
+    assert results[0][4] == "2024-03-05" and results[0][11] == "2024-03-12" and results[0][30] == "2024-04-03"
+    assert results[0][1004] == "2024-05-03" and 1020 not in results[0]  # month 21 isn't valid as declared
+    assert results[0][2004] == "2024-03-05"
 
 
 def test_found(spark):
