@@ -1,11 +1,13 @@
 """Variant spellings of companies and persons.
 
-Names are read into (kind, class, core): a company's class is its line of business, a person's the given name, the core
-is the brand or the surnames; legal forms, titles, case, accents, order, script variants and known abbreviations
-fall away. Cores give padded q-grams; MinHash signatures are cut into bands whose number follows from the collision
-curve (``bands_for``); names of one band and class are candidates, verified by Monge-Elkan similarity with an edit
-distance inside; the verified links are clustered by stars. Only distinct names enter, and names that read exactly
-alike are one node, so copies never make pairs of their own.
+Every distinct typed string is folded (width, case, accents, punctuation, legal forms, titles, script of names) and each folded
+string is a node. Its tokens give padded q-grams, weighted down where many names hold them (so that lines of business don't make
+candidates of all companies), and weighted MinHash signatures cut into bands whose number follows from the collision curve
+(``bands_for``). Nodes of one band are candidates, verified by Monge-Elkan similarity over tokens: its inner similarity takes
+abbreviations (letters of the longer word in order), initials, short forms of given names and tokens written together for the
+words they stand for, and an edit distance for the rest; no token may be left over. The verified links are clustered by stars.
+
+A hot band is verified in blocks of ``BLOCK`` nodes, each pair of blocks in a group of its own, so no task holds a whole band.
 """
 
 from __future__ import annotations
@@ -23,29 +25,14 @@ from pyspark.sql import types as T
 
 from ampora.session import cut_lineage
 
-Q, ROWS, SIMILARITY, RECALL = 2, 2, 0.4, 0.995
+Q, ROWS, SIMILARITY, RECALL = 3, 3, 0.4, 0.995
+# q-grams that a larger part of the names (and more than so many) holds weigh less, by the square, down to the least weight.
+COMMON, COMMON_NAMES, LEAST_WEIGHT = 0.05, 64, 0.1
 MONGE_ELKAN = 0.8
-SLIP_SHARE = 0.25  # a core with at most this part of another's spellings may be its slip
-
-# Lines of business by the words that state them.
-BUSINESS = {
-    "solar development": "SD",
-    "renewable energy": "RE",
-    "energy holdings": "EH",
-    "infrastructure energy": "IE",
-    "grid construction": "GC",
-    "international contracting": "IC",
-    "electrical engineering": "EE",
-    "storage systems": "SS",
-    "utilities": "U",
-    "power": "P",
-}
-# Abbreviations and spellings of those words.
-SHORT = {
-    "dev": "development", "devt": "development", "renew": "renewable", "ren": "renewable", "hldgs": "holdings", "hldg": "holdings", "holding": "holdings", "infrastr": "infrastructure", "infra": "infrastructure",
-    "constr": "construction", "const": "construction", "intl": "international", "int": "international", "contr": "contracting", "contract": "contracting", "elec": "electrical", "el": "electrical", "eng": "engineering", "engg": "engineering",
-    "stor": "storage", "sys": "systems", "syst": "systems", "util": "utilities", "utils": "utilities", "pwr": "power", "en": "energy", "nrg": "energy", "energ": "energy",
-}
+SLIP_SHARE = 0.25  # a spelling with at most this part of another's like spellings may be its slip
+BLOCK = 64
+
+# Fixed values of general use: legal forms, joining words, titles.
 LEGAL = set("ltd limited inc incorporated corp corporation co company gmbh sa s.a ltda jsc joint stock group the llc plc ag spa srl bv nv pty pte sarl sas kg oy ab as".split())
 JOINERS = {"and", "&", "of", "y", "e", "und", "et"}
 TITLES = {"dr", "eng", "ing", "mr", "mrs", "ms", "prof", "sr", "sra", "dipl", "herr", "frau", "señor", "don", "doña"}
@@ -55,13 +42,15 @@ NICKNAMES = {
     "toni": "antonia", "ted": "theodore", "theo": "theodore", "bella": "isabella", "isa": "isabella", "rike": "friederike", "paco": "francisco", "pancho": "francisco", "liz": "elizabeth", "beth": "elizabeth", "edu": "eduardo", "lalo": "eduardo",
     "bill": "william", "will": "william", "hannes": "johannes", "hans": "johannes", "pepe": "jose", "jm": "jose manuel", "jose": "jose manuel",
 }
-# Chinese lines of business with their shorter forms, and legal forms.
-HAN_BUSINESS = {"电力建设": "电建", "电力建": "电建", "电建": "电建", "新能源": "新能", "新能": "新能", "光伏科技": "光伏", "光伏科": "光伏", "光伏": "光伏", "储能技术": "储能", "储能技": "储能", "储能": "储能", "能源投资": "能投", "能源投": "能投", "能投": "能投", "电气工程": "电气", "电气工": "电气", "电气": "电气"}
 HAN_LEGAL = re.compile(r"(?:\(集团\)|集团)?(?:股份|有限|责任)*(?:公司)?$")
-# Traditional characters of names and of the words above.
+# Traditional characters with their simplified forms.
 SIMPLE = dict(zip("團資術電氣儲設責業發澤銘駿暢嶽暉遠櫟嶸瀾陽龍華國東廣寶豐興聯達馬鴻鵬輝澤濱滿寧蘭飛鳳義禮壽樂", "团资术电气储设责业发泽铭骏畅岳晖远栎嵘澜阳龙华国东广宝丰兴联达马鸿鹏辉泽滨满宁兰飞凤义礼寿乐"))
 
 
+
+_HAN = re.compile(r"[㐀-鿿]")
+
+
 def edits(a: str, b: str) -> int:
     """Edit distance where swapping neighbours counts one."""
     if a == b:
@@ -79,123 +68,139 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
-_WORDS = {w for k in BUSINESS for w in k.split()}
-
-
-@lru_cache(100_000)
-def _word(token: str) -> str | None:
-    if token in _WORDS:
-        return token
-    if token in SHORT:
-        return SHORT[token]
-    if len(token) >= 5:
-        for w in sorted(_WORDS):
-            if abs(len(w) - len(token)) <= 1 and edits(token, w) == 1:
-                return w
-    return None
-
-
-_INITIALS = re.compile(r"(SD|RE|EH|IE|GC|IC|EE|SS|U|P)(?:CL|JSC|SA|GMBH|LTDA|L|C|I|S|G)?")
-
-
-def read(name: str) -> tuple[str, str, list[str]]:
-    """``(kind, class, core tokens)`` of a name; kind is company, person or han."""
+def fold(name: str) -> list[str]:
+    """The tokens of a typed name without what is form only: width, case, accents, punctuation, legal forms, titles, joining words."""
     t = unicodedata.normalize("NFKC", name).strip()
     t = "".join(SIMPLE.get(c, c) for c in t)
-    if re.search(r"[一-鿿]", t):
-        t = re.sub(r"\s+", "", t)
-        t = HAN_LEGAL.sub("", t)
-        t = re.sub(r"[()（）·.,-]", "", t)
-        for word in sorted(HAN_BUSINESS, key=len, reverse=True):
-            at = t.rfind(word)
-            if at > 0:
-                return "han", HAN_BUSINESS[word], [t[:at] + t[at + len(word) :]]
-        return "han", "", [t]
-    raw = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
-    raw = re.sub(r"\b(?:[A-Za-z]\.\s?){2,}", lambda m: re.sub(r"[.\s]", "", m[0]) + " ", raw)  # G.m.b.H. -> GmbH
-    tokens = re.findall(r"[^\W\d_]+", raw)
-    low = [x.casefold() for x in tokens]
-    words = [_word(x) for x in low]
-    if low and low[0] in TITLES and not any(words[1:]) and not LEGAL & set(low):
-        words[0] = None  # Eng. before a person is a title
-    core, stated, initials = [], set(), None
-    for token, x, w in zip(tokens, low, words):
-        if x in LEGAL or x in JOINERS:
-            continue
-        if w:
-            stated.add(w)
-        else:
-            core.append((token, x))
-    legal = any(x in LEGAL and x not in ("the", "group", "co", "as", "ab", "sa") for x in low)
-    if not stated:
-        for token, x in core:
-            if token.isupper() and len(core) > 1 and (m := _INITIALS.fullmatch(token)):
-                initials = (m[1], x)
-    if stated or initials or legal:
-        cls = ""
-        for k, code in BUSINESS.items():
-            if set(k.split()) <= stated:
-                cls = code
-                break
-        if not cls and stated:
-            cls = next((code for k, code in BUSINESS.items() if stated & set(k.split()) - {"energy"}), "energy")
-        if initials:
-            cls = initials[0]
-            core = [c for c in core if c[1] != initials[1]]
-        return "company", cls, [x for _, x in core if len(x) > 1] or [x for _, x in core] or ["?"]
+    if _HAN.search(t):
+        t = HAN_LEGAL.sub("", re.sub(r"\s+", "", t))
+        return [x for x in [re.sub(r"[^\w]|_", "", t).casefold()] if x]
+    raw = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).casefold()
+    raw = re.sub(r"\b(?:[a-z]\.\s?){2,}", lambda m: re.sub(r"[.\s]", "", m[0]) + " ", raw)  # g.m.b.h. -> gmbh
     before, comma, after = raw.partition(",")
-    order = [x.casefold() for x in re.findall(r"[^\W\d_]+", f"{after} {before}" if comma else raw)]
-    order = [x for x in order if x not in TITLES] or order
-    given, rest = order[0], order[1:]
-    if rest and given == "jose" and rest[0] in ("manuel", "m"):
-        rest = rest[1:]
-    given = NICKNAMES.get(given, given)
-    return "person", given, rest or [given]
+    # A single letter with a dot is an initial, not a joining word.
+    tokens = [x + dot for part in (before, after) for x, dot in re.findall(r"([^\W_]+)(\.?)", part)]
+    if len(tokens) > 2 and tokens[0].rstrip(".") in TITLES:
+        tokens = tokens[1:]
+    bare = [x.rstrip(".") for x in tokens]
+    return [y for x, y in zip(tokens, bare) if y not in LEGAL and x not in JOINERS] or bare
+
+
+def _abbreviates(short: str, long: str) -> bool:
+    """Whether ``short`` is made of the first and further letters of ``long``, in order, and much shorter; one letter is an initial."""
+    if not short or short[0] != long[0] or len(short) > 0.7 * len(long):
+        return False
+    rest = iter(long)
+    return all(c in rest for c in short)
+
+
+@lru_cache(200_000)
+def alike(a: str, b: str) -> tuple[float, int]:
+    """The similarity of two tokens and the letters by which they differ: none where one stands for the other."""
+    if a == b or NICKNAMES.get(a, a) == NICKNAMES.get(b, b):
+        return 1.0, 0
+    short, long = (a, b) if len(a) < len(b) else (b, a)
+    if _abbreviates(short, long) or _abbreviates(short, NICKNAMES.get(long, long)):
+        return 1.0, 0
+    d = edits(a, b)
+    if d == 1 and long == short + "s":
+        return 1.0, 0
+    return 1 - d / len(long), d
+
+
+def _assign(a: list[str], b: list[str]) -> list[tuple[int, int, float, int]]:
+    """Pairs of tokens, the most similar first, each token once: places, similarity, letters."""
+    scored = sorted((p != q, -alike(p, q)[0], alike(p, q)[1], i != j, i, j) for i, p in enumerate(a) for j, q in enumerate(b))
+    left, right, out = set(range(len(a))), set(range(len(b))), []
+    for _, score, letters, _, i, j in scored:
+        if i in left and j in right and -score >= 0.5:
+            left.discard(i)
+            right.discard(j)
+            out.append((i, j, -score, letters))
+    return out
 
 
-def monge_elkan(a: list[str], b: list[str]) -> float:
-    """The mean over tokens of the best similarity with a token of the other list, symmetric."""
+def _expand(tokens: list[str]) -> list[str]:
+    """The tokens with short forms of several given names written out."""
+    return [w for t in tokens for w in (NICKNAMES[t].split() if " " in NICKNAMES.get(t, "") and not NICKNAMES[t].startswith(t + " ") else [t])]
 
-    def one(x: list[str], y: list[str]) -> float:
-        return sum(max(1 - edits(p, q) / max(len(p), len(q)) for q in y) for p in x) / len(x)
 
-    return min(one(a, b), one(b, a))
+def _join(a: list[str], b: list[str]) -> list[str]:
+    """``a`` with two of its tokens joined where ``b`` writes them as one."""
+    for token in b:
+        if len(token) >= 6 and token not in a:
+            for i, p in enumerate(a):
+                for j, q in enumerate(a):
+                    if i != j and abs(len(p) + len(q) - len(token)) <= 1 and min(len(p), len(q)) > 1 and edits(p + q, token) <= 1:
+                        return _join([t for k, t in enumerate(a) if k not in (i, j)] + [p + q], b)
+    return a
 
 
-def _joined(tokens: list[str]) -> set[str]:
-    return {"".join(tokens), "".join(reversed(tokens)), "".join(sorted(tokens))}
+def _covers(token: str, many: list[str]) -> bool:
+    """Whether a single token stands for all of ``many``: the initial of given names, or their initials and those of a legal form behind."""
+    initials = "".join(t[0] for t in many)
+    if len(token) == 1:
+        return token == initials[0] and len(many) <= 2
+    if len(many) > 1:
+        return token.startswith(initials) and len(token) - len(initials) <= 4
+    return len(many[0]) > 4 and token[0] == initials and token[1:] in _LEGAL_INITIALS
 
 
-def _given(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) == 1 and a[0] == b[0]) or (min(len(a), len(b)) >= 5 and edits(a, b) <= 1)
+# First letters of the legal forms that follow in initials of a company's name.
+_LEGAL_INITIALS = {"l", "i", "c", "g", "s", "cl", "jsc", "sa", "gmbh", "ltda", "ltd", "inc", "ag"}
 
 
-def same_party(a: tuple, b: tuple, support_a: int, support_b: int) -> float:
-    """The similarity of two names as read, 0 where they aren't the same party.
+def monge_elkan(a: list[str], b: list[str]) -> tuple[float, int]:
+    """The mean over tokens of the similarity with the other name's tokens that they are matched with, and the letters that differ.
 
-    Cores that differ by letters are one only while one of them stands in a single spelling or in few beside the other's,
-    as a slip does however many rows there are; two cores with comparable numbers of spellings are two parties.
+    0 where a token of either name is left without a counterpart.
+    """
+    a, b = _expand(a), _expand(b)
+    if len(a) == 1 and len(b) == 1 and _HAN.search(a[0] + b[0]):
+        return han_similarity(a[0], b[0])
+    a, b = _join(a, b), _join(b, a)
+    best = (0.0, 99)
+    pairs = _assign(a, b)
+    for strict in (False, True):  # initials may have been matched with single words: then only whole matches count
+        kept = [p for p in pairs if not strict or p[2] >= 0.8 and min(len(a[p[0]]), len(b[p[1]])) > 3]
+        rest_a = [t for i, t in enumerate(a) if i not in {p[0] for p in kept}]
+        rest_b = [t for j, t in enumerate(b) if j not in {p[1] for p in kept}]
+        scores, letters = [p[2] for p in kept], sum(p[3] for p in kept)
+        if rest_a or rest_b:
+            if not (len(rest_a) == 1 and rest_b and _covers(rest_a[0], rest_b) or len(rest_b) == 1 and rest_a and _covers(rest_b[0], rest_a)):
+                continue
+            scores += [1.0] * max(len(rest_a), len(rest_b))
+        score = sum(scores) / len(scores) if scores else 0.0
+        best = max(best, (score, -letters), key=lambda x: (x[0], x[1])) if best[0] else (score, -letters)
+    return (best[0], -best[1]) if best[0] else (0.0, 99)
+
+
+def han_similarity(a: str, b: str) -> tuple[float, int]:
+    """Of two names in Chinese characters: one is the other's abbreviation (characters in order, the first ones kept), or two neighbours are swapped."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+
+    def within(x: str) -> bool:
+        rest = iter(long)
+        return x[:3] == long[:3] and len(x) > 3 and all(c in rest for c in x)
+
+    if short == long or within(short):
+        return 1.0, 0
+    for i in range(min(3, len(short) - 1)):
+        swapped = short[:i] + short[i + 1] + short[i] + short[i + 2 :]
+        if swapped == long or within(swapped):
+            return 0.9, 1
+    return 0.0, 99
+
+
+def same_party(a: list[str], b: list[str]) -> tuple[float, int]:
+    """The similarity of two folded names and the letters that differ; 0 where they can't be the same party.
+
+    One letter may differ, or two in long names. Whether a name that differs is a slip or another party is decided by
+    how many spellings stand behind each (``parties``).
     """
-    kind, cls, x = a
-    if kind != b[0]:
-        return 0.0
-    y = b[2]
-    if kind == "person":
-        if not _given(cls, b[1]):
-            return 0.0
-    elif cls != b[1]:
-        return 0.0
-    if _joined(x) & _joined(y):
-        return 1.0
-    distance = min(edits(p, q) for p in _joined(x) for q in _joined(y))
-    if min(support_a, support_b) > max(1, SLIP_SHARE * max(support_a, support_b)):
-        return 0.0
-    if kind == "han":
-        return 0.9 if distance == 1 and sorted(x[0]) == sorted(y[0]) else 0.0
-    if distance > (2 if min(len("".join(x)), len("".join(y))) >= 14 else 1):
-        return 0.0
-    score = monge_elkan(x, y) if len(x) == len(y) else 1 - distance / max(len("".join(x)), len("".join(y)))
-    return score if score >= MONGE_ELKAN else 0.0
+    score, letters = monge_elkan(a, b)
+    allowed = 2 if min(len("".join(a)), len("".join(b))) >= 20 else 1
+    return (score, letters) if score >= MONGE_ELKAN and letters <= allowed else (0.0, 0)
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -203,58 +208,66 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def grams(core: list[str], kind: str) -> set[str]:
-    q = 1 if kind == "han" else Q
+def grams(tokens: list[str]) -> set[str]:
+    """The padded q-grams of all tokens; their order doesn't matter."""
     out = set()
-    for token in core:
-        padded = token if kind == "han" else f"^{token}$"
-        out |= {padded[i : i + q] for i in range(max(1, len(padded) - q + 1))}
+    for token in tokens:
+        padded = f"^{token}$"
+        # A Chinese character is a word's part: single ones and pairs.
+        for q in (1, 2) if _HAN.search(token) else (Q,):
+            out |= {padded[i : i + q] for i in range(max(1, len(padded) - q + 1))}
+    out -= {"^", "$"}
     return out
 
 
-_READ = T.StructType([T.StructField("kind", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("core", T.ArrayType(T.StringType())), T.StructField("bands", T.ArrayType(T.LongType()))])
+@F.pandas_udf(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("grams", T.ArrayType(T.StringType()))]))
+def _fold(names: pd.Series) -> pd.DataFrame:
+    folded = [fold(n) for n in names]
+    return pd.DataFrame({"tokens": folded, "grams": [sorted(grams(x)) for x in folded]})
 
 
-def _reader(bands: int, rows: int):
-    rng = np.random.default_rng(7)
-    n = bands * rows
-    mul = rng.integers(1, 2**61, n, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**61, n, dtype=np.uint64)
+def _signer(bands: int, rows: int):
+    salts = [np.uint64(x) for x in np.random.default_rng(7).integers(1, 2**63, bands * rows, dtype=np.uint64)]
 
-    @F.pandas_udf(_READ)
-    def reader(names: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sign(gram_lists: pd.Series) -> pd.Series:
+        """Weighted MinHash: each gram rings a clock of its weight per hash, the first to ring is the minimum."""
         from xxhash import xxh3_64_intdigest
 
         out = []
-        for name in names:
-            kind, cls, core = read(name)
-            hashes = np.fromiter((xxh3_64_intdigest(g) for g in grams(core, kind)), dtype=np.uint64)
-            mins = ((hashes[:, None] * mul + add) >> np.uint64(3)).min(axis=0).reshape(bands, rows)
-            # Band keys: names of one class only meet each other; a person's class is the initial.
-            tag = xxh3_64_intdigest(f"{kind}|{cls[:1] if kind == 'person' else cls}")
-            keys = (mins * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5][:rows], dtype=np.uint64)).sum(axis=1) + np.arange(bands, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D) + np.uint64(tag)
-            out.append((kind, cls, sorted(core), keys.view(np.int64)))
-        return pd.DataFrame(out, columns=["kind", "cls", "core", "bands"])
+        for entries in gram_lists:
+            ids = np.fromiter((xxh3_64_intdigest(e["gram"]) for e in entries), dtype=np.uint64, count=len(entries))
+            weight = np.fromiter((e["weight"] for e in entries), dtype=float, count=len(entries))
+            x = ids[:, None] ^ np.array(salts, dtype=np.uint64)[None, :]
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2**-54
+            first = ids[(-np.log(uniform) / weight[:, None]).argmin(axis=0)].reshape(bands, rows)
+            mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5][:rows], dtype=np.uint64)
+            keys = (first * mix).sum(axis=1) + np.arange(bands, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)
+            out.append(keys.view(np.int64))
+        return pd.Series(out)
 
-    return reader
+    return sign
 
 
-@F.pandas_udf(T.DoubleType())
-def _verify(kind: pd.Series, cls_a: pd.Series, core_a: pd.Series, n_a: pd.Series, cls_b: pd.Series, core_b: pd.Series, n_b: pd.Series) -> pd.Series:
-    return pd.Series([same_party((k, ca, list(a)), (k, cb, list(b)), na, nb) for k, ca, a, na, cb, b, nb in zip(kind, cls_a, core_a, n_a, cls_b, core_b, n_b)], dtype="float64")
+@F.pandas_udf(T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("letters", T.IntegerType())]))
+def _verify(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([same_party(list(x), list(y)) for x, y in zip(a, b)], columns=["similarity", "letters"])
 
 
-def star_clusters(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, center``: stars around the nodes of most links.
+def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, center``: stars around the nodes of most weight.
 
     Each round, a free node that outranks its free neighbours (by weight, links, then id) becomes a center and takes them;
     a node between two centers goes to the more similar. Stars can't chain: members link to their center, not to each other.
-    ``nodes`` has node, weight; ``links`` has a, b, similarity in both directions.
+    The free node of the highest rank is a center in any round, so the rounds go on until none is free. ``nodes`` has node,
+    weight; ``links`` has a, b, similarity in both directions.
     """
     free = nodes.join(links.groupBy("a").count(), F.col("node") == F.col("a"), "left").select("node", F.struct("weight", F.coalesce("count", F.lit(0)).alias("links"), "node").alias("rank"))
     free = cut_lineage(free)
     done = None
-    for _ in range(rounds):
+    while True:
         ranked = links.join(free.select(F.col("node").alias("b"), F.col("rank").alias("rank_b")), "b").groupBy("a").agg(F.max("rank_b").alias("top"))
         state = free.join(ranked, F.col("node") == F.col("a"), "left")
         centers = state.where(F.col("top").isNull() | (F.col("rank") > F.col("top"))).select("node")
@@ -264,26 +277,51 @@ def star_clusters(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataF
         done = step if done is None else done.unionByName(step)
         free = cut_lineage(free.join(step.select("node"), "node", "left_anti"))
         if free.isEmpty():
-            break
-    return done
+            return done
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """``a, b``: the distinct pairs of nodes (a < b) that share a key; ``keys`` has node, key.
+
+    A key of many nodes is dealt into blocks and every pair of blocks is a group of its own.
+    """
+    blocks = keys.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = keys.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # Each node meets the block pairs (its own, any), in order.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = dealt.select("key", "node", "block", other).select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    x, y = placed.alias("x"), placed.alias("y")
+    meet = x.join(y, ["key", "i", "j"]).where((F.col("x.node") < F.col("y.node")) & ((F.col("i") == F.col("j")) | (F.col("x.block") != F.col("y.block"))))
+    return meet.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def parties(names: DataFrame) -> DataFrame:
     """``name, party``: each distinct non-blank string of column name with the party it names.
 
-    Nulls and blank strings have no row; repeated rows count once.
+    Nulls and blank strings have no row; repeated rows count once; strings without letters are parties of their own.
     """
     bands = bands_for(SIMILARITY, ROWS, RECALL)
     distinct = names.select("name").where(F.trim("name") != "").distinct()
-    parsed = distinct.select("name", _reader(bands, ROWS)("name").alias("r")).select("name", F.xxhash64("r.kind", "r.cls", F.array_join("r.core", " ")).alias("node"), "r.*")
-    parsed = cut_lineage(parsed)
-    nodes = cut_lineage(parsed.groupBy("node").agg(F.count("*").alias("weight"), F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.first("core").alias("core"), F.first("bands").alias("bands")))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    pairs = keys.alias("x").join(keys.alias("y"), "key").where(F.col("x.node") < F.col("y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("kind").alias(f"kind_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("core").alias(f"core_{s}"), F.col("weight").alias(f"n_{s}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").where("kind_a = kind_b").select("a", "b", _verify("kind_a", "cls_a", "core_a", "n_a", "cls_b", "core_b", "n_b").alias("similarity")).where("similarity > 0")
-    links = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    stars = star_clusters(nodes.select("node", "weight"), cut_lineage(links))
+    folded = distinct.select("name", _fold("name").alias("r"))
+    # What folds alike is one node; a name of nothing but form is a node of its own.
+    node = F.when(F.size("r.tokens") > 0, F.xxhash64(F.array_join("r.tokens", " "))).otherwise(F.xxhash64("name"))
+    parsed = cut_lineage(folded.select("name", node.alias("node"), "r.*"))
+    nodes = cut_lineage(parsed.groupBy("node").agg(F.count("*").alias("spellings"), F.first("tokens").alias("tokens"), F.first("grams").alias("grams")))
+    total = nodes.count()
+    held = nodes.select("node", F.explode("grams").alias("gram"))
+    weight = F.greatest(F.lit(LEAST_WEIGHT), F.pow(F.least(F.lit(1.0), F.lit(max(COMMON * total, COMMON_NAMES)) / F.col("count")), 2))
+    weighed = held.join(held.groupBy("gram").count(), "gram").groupBy("node").agg(F.collect_list(F.struct("gram", weight.alias("weight"))).alias("w"))
+    pairs = candidates(weighed.select("node", F.explode(_signer(bands, ROWS)("w")).alias("key")))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _verify("tokens_a", "tokens_b").alias("v")).select("a", "b", "v.*").where("similarity > 0")
+    links = cut_lineage(scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "letters")))
+    # Spellings that differ by form alone stand behind a node; a slip has few of them beside the name it comes from.
+    behind = nodes.select("node", "spellings").join(links.where("letters = 0").join(nodes.select(F.col("node").alias("b"), F.col("spellings").alias("of_b")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("of_b").alias("more")), "node", "left")
+    behind = cut_lineage(behind.select("node", (F.col("spellings") + F.coalesce("more", F.lit(0))).alias("weight")))
+    w = lambda s: behind.select(F.col("node").alias(s), F.col("weight").alias(f"w_{s}"))
+    slip = F.least("w_a", "w_b") <= F.greatest(F.lit(1.0), SLIP_SHARE * F.greatest("w_a", "w_b"))
+    kept = links.join(w("a"), "a").join(w("b"), "b").where((F.col("letters") == 0) | slip).select("a", "b", "similarity")
+    stars = star_clusters(behind, cut_lineage(kept))
     return parsed.join(stars, "node").select("name", F.col("center").alias("party"))
 
 
