@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES, CENTROIDS, REJECT = 4096, 2, 0.06
-MAX_SAMPLES = 100_000  # labelled rows that a model may be fitted on
+MAX_SAMPLES = 8_192  # labelled rows that a model may be fitted on: 130 MB of vectors on the driver
 
 # Names of the languages in labels; region, script and case don't matter.
 CODES = {
@@ -49,7 +49,7 @@ def counts(texts: list[str], features: int = FEATURES) -> np.ndarray:
     n = np.fromiter(map(len, clean), dtype=np.int64, count=len(clean))
     c = np.frombuffer("".join(clean).encode("utf-32-le"), dtype=np.uint32)
     row = np.repeat(np.arange(len(clean), dtype=np.int64), n) * features
-    out = np.zeros(len(clean) * features, dtype=np.int64)
+    out = np.zeros(len(clean) * features, dtype=np.int32)
     with np.errstate(over="ignore"):
         # Alone, a Chinese character counts as its script: there are too many for the samples to hold.
         one = np.where((c >= 0x3400) & (c <= 0x9FFF), np.uint32(0x4E00), c) * np.uint32(2654435761)
@@ -59,7 +59,7 @@ def counts(texts: list[str], features: int = FEATURES) -> np.ndarray:
         for cut, h in enumerate((one, two, three, four)):
             h = (h ^ (h >> np.uint32(15))) * np.uint32(2146121005)
             index = ((h ^ (h >> np.uint32(13))) % np.uint32(features)).astype(np.int64)
-            out += np.bincount(row[: len(row) - cut] + index, minlength=len(out))
+            out += np.bincount(row[: len(row) - cut] + index, minlength=len(out)).astype(np.int32)
     return out.reshape(len(clean), features)
 
 
@@ -72,7 +72,7 @@ class Model:
         if not labelled:
             return
         texts = [t for _, t in labelled]
-        tf = self._tf(counts(texts, features))
+        tf = np.concatenate([self._tf(counts(texts[at : at + 256], features)) for at in range(0, len(texts), 256)])
         idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1
         # An n-gram that several languages use says little about any: a second factor counts languages instead of texts.
         kinds = sorted({k for k, _ in labelled})
@@ -121,8 +121,8 @@ class Model:
 
 
 def fit(samples: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """A model of at most ``MAX_SAMPLES`` labelled rows."""
-    rows = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text).limit(MAX_SAMPLES).collect()
+    """A model of at most ``MAX_SAMPLES`` labelled rows, the same ones whatever the order of the table."""
+    rows = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text).orderBy(F.xxhash64(text, lang), text, lang).limit(MAX_SAMPLES).collect()
     return Model(sorted((r[0], r[1]) for r in rows))
 
 
