@@ -28,6 +28,8 @@ from ampora.session import cut_lineage
 Q, ROWS, SIMILARITY, RECALL = 3, 3, 0.4, 0.995
 # q-grams that a larger part of the names (and more than so many) holds weigh less, by the square, down to the least weight.
 COMMON, COMMON_NAMES, LEAST_WEIGHT = 0.05, 64, 0.1
+# Of two names' q-grams, weighed more sharply, the lesser set's part that both hold; candidates below it aren't aligned (true pairs: 0.33 and more).
+SHARP, SHARP_NAMES, SHARP_WEIGHT, SHARED = 0.02, 4, 0.02, 0.3
 MONGE_ELKAN = 0.8
 SLIP_SHARE = 0.25  # a spelling with at most this part of another's like spellings may be its slip
 BLOCK = 64
@@ -158,6 +160,18 @@ def monge_elkan(a: list[str], b: list[str]) -> tuple[float, int]:
     a, b = _expand(a), _expand(b)
     if len(a) == 1 and len(b) == 1 and _HAN.search(a[0] + b[0]):
         return han_similarity(a[0], b[0])
+    # Equal tokens are each other's counterparts; only the rest is compared.
+    same = 0
+    a, b = list(a), list(b)
+    for token in list(a):
+        if token in b:
+            a.remove(token)
+            b.remove(token)
+            same += 1
+    if not a and not b:
+        return 1.0, 0
+    if not a or not b:
+        return 0.0, 99
     a, b = _join(a, b), _join(b, a)
     best = (0.0, 99)
     pairs = _assign(a, b)
@@ -165,14 +179,15 @@ def monge_elkan(a: list[str], b: list[str]) -> tuple[float, int]:
         kept = [p for p in pairs if not strict or p[2] >= 0.8 and min(len(a[p[0]]), len(b[p[1]])) > 3]
         rest_a = [t for i, t in enumerate(a) if i not in {p[0] for p in kept}]
         rest_b = [t for j, t in enumerate(b) if j not in {p[1] for p in kept}]
-        scores, letters = [p[2] for p in kept], sum(p[3] for p in kept)
+        scores, letters = [1.0] * same + [p[2] for p in kept], sum(p[3] for p in kept)
         if rest_a or rest_b:
             if not (len(rest_a) == 1 and rest_b and _covers(rest_a[0], rest_b) or len(rest_b) == 1 and rest_a and _covers(rest_b[0], rest_a)):
                 continue
             scores += [1.0] * max(len(rest_a), len(rest_b))
         score = sum(scores) / len(scores) if scores else 0.0
-        best = max(best, (score, -letters), key=lambda x: (x[0], x[1])) if best[0] else (score, -letters)
-    return (best[0], -best[1]) if best[0] else (0.0, 99)
+        if score > best[0] or (score == best[0] and letters < best[1]):
+            best = (score, letters)
+    return best
 
 
 def han_similarity(a: str, b: str) -> tuple[float, int]:
@@ -295,6 +310,11 @@ def candidates(keys: DataFrame) -> DataFrame:
     return meet.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def spark_partitions(df: DataFrame) -> int:
+    """As many partitions as the session shuffles into: pairs are few but each takes its time, so they mustn't be merged by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def parties(names: DataFrame) -> DataFrame:
     """``name, party``: each distinct non-blank string of column name with the party it names.
 
@@ -310,10 +330,14 @@ def parties(names: DataFrame) -> DataFrame:
     total = nodes.count()
     held = nodes.select("node", F.explode("grams").alias("gram"))
     weight = F.greatest(F.lit(LEAST_WEIGHT), F.pow(F.least(F.lit(1.0), F.lit(max(COMMON * total, COMMON_NAMES)) / F.col("count")), 2))
-    weighed = held.join(held.groupBy("gram").count(), "gram").groupBy("node").agg(F.collect_list(F.struct("gram", weight.alias("weight"))).alias("w"))
+    sharp = F.greatest(F.lit(SHARP_WEIGHT), F.pow(F.least(F.lit(1.0), F.lit(max(SHARP * total, SHARP_NAMES)) / F.col("count")), 2))
+    weighed = held.join(held.groupBy("gram").count(), "gram").groupBy("node").agg(F.collect_list(F.struct("gram", weight.alias("weight"))).alias("w"), F.collect_list(F.struct("gram", sharp.alias("weight"))).alias("sharp"))
+    weighed = cut_lineage(weighed.join(nodes.select("node", "tokens"), "node"))
     pairs = candidates(weighed.select("node", F.explode(_signer(bands, ROWS)("w")).alias("key")))
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _verify("tokens_a", "tokens_b").alias("v")).select("a", "b", "v.*").where("similarity > 0")
+    sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda t, e: t + e["weight"])
+    side = lambda s: weighed.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.col("sharp").alias(f"sharp_{s}"), sum_of(F.col("sharp")).alias(f"sum_{s}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sum_of(F.array_intersect("sharp_a", "sharp_b")) >= SHARED * F.least("sum_a", "sum_b"))
+    scored = likely.repartition(spark_partitions(likely)).select("a", "b", _verify("tokens_a", "tokens_b").alias("v")).select("a", "b", "v.*").where("similarity > 0")
     links = cut_lineage(scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "letters")))
     # Spellings that differ by form alone stand behind a node; a slip has few of them beside the name it comes from.
     behind = nodes.select("node", "spellings").join(links.where("letters = 0").join(nodes.select(F.col("node").alias("b"), F.col("spellings").alias("of_b")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("of_b").alias("more")), "node", "left")
