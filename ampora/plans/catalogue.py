@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ampora.functions import text as X
 from ampora.operators import resolve, units
+from ampora.operators.classify import article_url
 from ampora.session import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,7 +119,10 @@ def articles_with_source(spark, d):
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND NOT EXISTS (SELECT 1 FROM page_capture p WHERE p.raw_path = documents.raw_path)")
 def without_capture(spark, d):
     """Documents whose page isn't archived."""
-    return table(spark, d, "documents").where("text IS NOT NULL AND length(text) > 0").select("doc_id", "raw_path").join(table(spark, d, "page_capture").select("raw_path"), "raw_path", "left_anti").select("doc_id")
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND length(text) > 0").select("doc_id", "raw_path")
+    # Two thirds have no path: they never meet the join, where they would be one key.
+    missing = docs.where("raw_path IS NOT NULL").join(table(spark, d, "page_capture").select("raw_path"), "raw_path", "left_anti")
+    return docs.where("raw_path IS NULL").select("doc_id").unionByName(missing.select("doc_id"))
 
 
 @query("SELECT raw_path, status_code FROM page_capture p WHERE EXISTS (SELECT 1 FROM documents d WHERE d.raw_path = p.raw_path)")
@@ -132,7 +136,8 @@ def coalescing_lookup(spark, d):
     """The archived page's address, else the document's."""
     p = table(spark, d, "page_capture").select("raw_path", F.col("url").alias("p_url"), F.col("content_type").alias("p_type"))
     docs = table(spark, d, "documents").select("doc_id", "raw_path", "url", "content_type")
-    return docs.join(p, "raw_path", "left").select("doc_id", F.coalesce("p_url", "url").alias("url"), F.coalesce("p_type", "content_type").alias("content_type"))
+    found = docs.where("raw_path IS NOT NULL").join(p, "raw_path", "left").select("doc_id", F.coalesce("p_url", "url").alias("url"), F.coalesce("p_type", "content_type").alias("content_type"))
+    return found.unionByName(docs.where("raw_path IS NULL").select("doc_id", "url", "content_type"))
 
 
 @query("WITH x AS (SELECT scan_id, unnest(source_ids) AS source_id, unnest(range(len(source_ids))) AS pos FROM scans) SELECT scan_id, pos::INT AS pos, source_id, source_name FROM x JOIN sources USING (source_id)")
@@ -291,8 +296,12 @@ def canonical_urls(spark, d):
     return table(spark, d, "documents").select("doc_id", X.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(published_at, '20\d\d[-/.年]\d{1,2}') THEN concat_ws('-', regexp_extract(published_at, '(20\d\d)[-/.年](\d{1,2})(?:[-/.月](\d{1,2}))?', 1), lpad(regexp_extract(published_at, '(20\d\d)[-/.年](\d{1,2})(?:[-/.月](\d{1,2}))?', 2), 2, '0'), CASE WHEN regexp_extract(published_at, '(20\d\d)[-/.年](\d{1,2})(?:[-/.月](\d{1,2}))?', 3) = '' THEN '01' ELSE lpad(regexp_extract(published_at, '(20\d\d)[-/.年](\d{1,2})(?:[-/.月](\d{1,2}))?', 3), 2, '0') END)
-WHEN regexp_matches(published_at, '\d{1,2}[-/.]\d{1,2}[-/.]20\d\d') THEN concat_ws('-', regexp_extract(published_at, '(\d{1,2})[-/.](\d{1,2})[-/.](20\d\d)', 3), lpad(regexp_extract(published_at, '(\d{1,2})[-/.](\d{1,2})[-/.](20\d\d)', 2), 2, '0'), lpad(regexp_extract(published_at, '(\d{1,2})[-/.](\d{1,2})[-/.](20\d\d)', 1), 2, '0')) END AS day FROM documents""")
+@query(r"""
+WITH p AS (SELECT doc_id, string_split_regex(regexp_extract(published_at, '20[0-9]{2}[年./-][0-9]{1,2}([月./-][0-9]{1,2})?', 0), '[^0-9]+') AS y,
+  string_split_regex(regexp_extract(' ' || published_at || ' ', '[^0-9]([0-9]{1,2}[./-][0-9]{1,2}[./-]20[0-9]{2})[^0-9]', 1), '[^0-9]+') AS z,
+  try_strptime(trim(published_at), ['%b %-d, %Y', '%B %-d, %Y', '%-d %b %Y', '%-d %B %Y', '%b %-d %Y', '%-d-%b-%y', '%-d-%b-%Y']) AS n FROM documents)
+SELECT doc_id, CASE WHEN len(y) >= 2 THEN y[1] || '-' || lpad(y[2], 2, '0') || '-' || CASE WHEN len(y) > 2 THEN lpad(y[3], 2, '0') ELSE '01' END
+  WHEN len(z) = 3 THEN z[3] || '-' || lpad(z[2], 2, '0') || '-' || lpad(z[1], 2, '0') ELSE strftime(n, '%Y-%m-%d') END AS day FROM p""")
 def date_from_text(spark, d):
     """The first date that published_at shows."""
     return table(spark, d, "documents").select("doc_id", X.date_of(F.col("published_at")).alias("day"))
@@ -346,18 +355,18 @@ def url_extraction(spark, d):
     return table(spark, d, "projects").select("row_id", F.size(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;)]+$", "")))).cast("bigint").alias("urls"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(error, '(?i)dns|proxy|enotfound|econnrefused') THEN 'PROXY_OR_DNS' WHEN regexp_matches(error, '(?i)time(d )?out|abort') THEN 'TIMEOUT' WHEN regexp_matches(error, '(?i)network|socket|reset|tls|certificate') THEN 'NETWORK' ELSE 'FETCH_ERROR' END AS code FROM documents WHERE error IS NOT NULL")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(error, '(?i)198\.1[89]\.|EACCES|EPERM|proxy|代理') THEN 'PROXY_OR_DNS' WHEN regexp_matches(error, '(?i)timeout|aborted') THEN 'TIMEOUT' WHEN regexp_matches(error, '(?i)ENOTFOUND|EAI_AGAIN|fetch failed|ECONN') THEN 'NETWORK' ELSE 'FETCH_ERROR' END AS code FROM documents WHERE error IS NOT NULL")
 def error_codes(spark, d):
     """Failures by message."""
     return table(spark, d, "documents").where("error IS NOT NULL").select("doc_id", X.error_code(F.col("error")).alias("code"))
 
 
-@query(r"SELECT doc_id, regexp_matches(url, '(?i)\.(pdf|docx?|xlsx?|pptx?|zip|rar|7z|jpe?g|png|gif|webp|svg|mp3|mp4|avi|mov)([?#]|$)') AS is_binary, regexp_matches(url, '(?i)\.html|/detail/|/news/|/20\d\d') AS is_article, regexp_extract(url, '^([a-z]+://[^/]+)', 1) = regexp_extract(canonical_url, '^([a-z]+://[^/]+)', 1) AS same_origin FROM documents")
+@query(r"SELECT doc_id, regexp_matches(url, '(?i)\.(jpe?g|png|gif|svg|webp|ico|css|js|woff2?|ttf|zip|rar|pdf|xlsx?|docx?|pptx?|mp4|mp3)($|\?)') AS is_binary, regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '(?i)\.(?:s?html?|pdf)$|/details?/|/content[_/-]|/articles?/|/news/|/20[0-9]{2}[-/]') AS is_article, regexp_extract(url, '^([a-z]+://[^/]+)', 1) = regexp_extract(canonical_url, '^([a-z]+://[^/]+)', 1) AS same_origin FROM documents")
 def url_predicates(spark, d):
     """Binary, article-like and same-origin addresses."""
     u = F.col("url")
     origin = lambda c: F.regexp_extract(c, "^([a-z]+://[^/]+)", 1)
-    return table(spark, d, "documents").select("doc_id", u.rlike(X.BINARY).alias("is_binary"), u.rlike(r"(?i)\.html|/detail/|/news/|/20\d\d").alias("is_article"), (origin("url") == origin("canonical_url")).alias("same_origin"))
+    return table(spark, d, "documents").select("doc_id", u.rlike(X.BINARY).alias("is_binary"), article_url(u).alias("is_article"), (origin("url") == origin("canonical_url")).alias("same_origin"))
 
 
 @query("SELECT doc_id, CASE WHEN d.fetched_at IS NULL OR s.scan_id IS NULL THEN 'date_unknown' WHEN strftime(d.fetched_at, '%Y-%m-%d') BETWEEN s.start_date AND s.end_date THEN 'within_range' ELSE 'outside_range' END AS date_status FROM documents d LEFT JOIN scans s USING (scan_id)")
@@ -416,7 +425,8 @@ def content_archive(spark, d):
     """Content addresses, and which document first wrote each."""
     t = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     first = t.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return t.join(first, "digest").select("doc_id", "digest", (F.col("doc_id") == F.col("first_id")).alias("is_first"))
+    # Joined by document, not by digest: all empty texts share one.
+    return t.join(first.select(F.col("first_id").alias("doc_id"), F.lit(True).alias("f")), "doc_id", "left").select("doc_id", "digest", F.coalesce("f", F.lit(False)).alias("is_first"))
 
 
 # --- JSON, maps, entities, review -----------------------------------------------------------------------------------------

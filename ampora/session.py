@@ -38,11 +38,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; where it is unset, one of our own in local mode, an error elsewhere."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = os.path.join(tempfile.gettempdir(), "ampora-checkpoints")
     sc.setCheckpointDir(folder)
