@@ -61,3 +61,26 @@ def rename_by_alias(rows: DataFrame, aliases: dict[str, list[str]]) -> DataFrame
         if field and field not in chosen:
             chosen[field] = F.col(f"`{c}`").alias(field)
     return rows.select(*chosen.values())
+
+
+def robots_rules(texts: DataFrame) -> DataFrame:
+    """``host, disallow`` of the group for all agents of each robots text (host, robots)."""
+    pairs = texts.select("host", F.filter(F.transform(F.split("robots", r"\r?\n"), lambda x: F.transform(F.split(F.regexp_replace(x, r"#.*$", ""), ":", 2), lambda y: F.trim(y))), lambda p: F.size(p) == 2).alias("p"))
+    # Walks a text's lines with the state (group is for all, last line named an agent, paths); a text is one row.
+    start = F.struct(F.lit(False).alias("all"), F.lit(False).alias("agent"), F.array().cast("array<string>").alias("paths"))
+
+    def step(state: Column, p: Column) -> Column:
+        name = F.lower(p[0])
+        agent = name == "user-agent"
+        own = F.when(agent, (p[1] == "*") | (state["agent"] & state["all"])).otherwise(state["all"])
+        paths = F.when(~agent & (name == "disallow") & state["all"] & (p[1] != ""), F.concat(state["paths"], F.array(p[1]))).otherwise(state["paths"])
+        return F.struct(own.alias("all"), agent.alias("agent"), paths.alias("paths"))
+
+    return pairs.select("host", F.explode(F.array_distinct(F.aggregate("p", start, step)["paths"])).alias("disallow"))
+
+
+def until_older(pages: DataFrame, date: str, start: str) -> DataFrame:
+    """The records of pages (page, ...) up to the first page on which every ``date`` lies before ``start``; null dates don't end it."""
+    old = pages.groupBy("page").agg(F.bool_and(F.coalesce(F.col(date) < start, F.lit(False))).alias("old"))
+    end = old.where("old").agg(F.min("page").alias("_end"))
+    return pages.join(F.broadcast(end), F.lit(True)).where(F.col("_end").isNull() | (F.col("page") < F.col("_end"))).drop("_end")

@@ -3,7 +3,9 @@ import os
 import duckdb
 import pytest
 
-from ampora.plans import catalogue
+from ampora.plans import catalogue, classify, entities, outputs, pages, relations, texts
+
+SQL = {name: (m, sql) for m in (catalogue, texts, classify, relations, pages, entities, outputs) for name, sql in m.oracle_sql().items()}
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "sources scans project_intel dajiala_article projects page_capture documents eval_items lang_samples container_specs region nation customer supplier part orders lineitem events embeddings".split()
@@ -27,12 +29,13 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    df = catalogue.queries()[name](spark, DATA)
+    module, sql = SQL[name]
+    df = module.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(map(plain, r))) for r in df.select(*columns).collect())
-    answer = duck.execute(catalogue.oracle_sql()[name])
+    answer = duck.execute(sql)
     place = [[c[0] for c in answer.description].index(c) for c in columns]
     assert got == sorted(repr(tuple(plain(r[i]) for i in place)) for r in answer.fetchall())
 
