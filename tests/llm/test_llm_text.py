@@ -24,6 +24,14 @@ ARTICLE = "The plant will serve homes and displace carbon dioxide every year for
         ("加载中……", "message"),
         ("xxx xxx xxx Texto de ejemplo. Sustituir.", "message"),
         ("The tender portal returned error 404 for two days, which bidders quoted.", None),
+        # Sentences that no list holds: nearly all their words are those of messages.
+        ("Sorry, the file you requested has expired. Please try again later.", "message"),
+        ("502 Bad gateway: the upstream server is unavailable", "message"),
+        ("Bitte warten Sie, der Inhalt wird geladen.", "message"),
+        ("系统升级，请稍后重新登录", "message"),
+        ("Log in\nContact\nHome", None),
+        ("This site uses cookies. Accept | Reject | Settings", None),
+        ("Das Vergabeportal meldete zwei Tage lang den Fehler 503, beklagen Bieter.", None),
         ("Loading…\n" + "\n".join([ARTICLE] * 5), None),
         ("", None),
         (None, None),
