@@ -72,11 +72,14 @@ def match_score(a: str, b: str, named: Column) -> Column:
     return F.least(score + weight(holds(c(a, "party"), c(b, "party")), 0.1) + weight(holds(c(a, "address"), c(b, "address")), 0.1), F.lit(1.0))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``node, component``: the least node of each connected component."""
+BROADCAST_COUNTRIES = 100_000  # pairs of matching country names (about 10 MB) that are broadcast; beyond, they are joined
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component``: the least node of each connected component; rounds go on until no label changes."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(rounds):
+    while True:
         least = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         # A label's own label is followed as well, which halves the distance to the root.
         step = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("before"))
@@ -84,8 +87,21 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
         after = cut_lineage(jump.select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "before"))
         labels = after.select("node", "component")
         if after.where("component <> before").isEmpty():
-            break
-    return labels
+            return labels
+
+
+def _matching(known: DataFrame) -> DataFrame:
+    """``c1, c2``: the countries of which one is empty or holds the other, by equi joins of parts with whole names."""
+    # Distinct lengths of country names: no more than the longest has letters.
+    lengths = sorted(r[0] for r in known.select(F.length("country")).distinct().collect() if r[0])
+    if not lengths:
+        return known.select(F.col("country").alias("c1"), F.col("country").alias("c2"))
+    n = F.length("country")
+    parts = known.where("country <> ''").select(F.col("country").alias("c1"), F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= n)).alias("k"))
+    parts = parts.select("c1", F.explode(F.transform(F.sequence(F.lit(1), F.length("c1") - F.col("k") + 1), lambda i: F.substring(F.col("c1"), i, F.col("k")))).alias("c2")).distinct()
+    held = parts.join(known.select(F.col("country").alias("c2")), "c2").select("c1", "c2")
+    none = known.select(F.col("country").alias("c1"), F.lit("").alias("c2"))
+    return held.unionByName(held.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).unionByName(none).unionByName(none.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct()
 
 
 def _rarest(items: DataFrame, keys: Column) -> DataFrame:
@@ -98,7 +114,7 @@ def _rarest(items: DataFrame, keys: Column) -> DataFrame:
 
 def _meet(left: DataFrame, right: DataFrame, countries: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of the ids of both sides (id, country, keys) that share a key within matching countries."""
-    x = left.select(F.col("id").alias("x"), F.col("country").alias("c1"), F.explode("keys").alias("key")).join(F.broadcast(countries), "c1")
+    x = left.select(F.col("id").alias("x"), F.col("country").alias("c1"), F.explode("keys").alias("key")).join(countries, "c1")
     y = right.select(F.col("id").alias("y"), F.col("country").alias("c2"), F.explode("keys").alias("key"))
     return x.join(y, ["c2", "key"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -131,8 +147,9 @@ def resolve(mentions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = cut_lineage(keyed.dropDuplicates(["node"]).select("node", "name", "tokens", "country"))
     facts = cut_lineage(keyed.where("name <> ''").withColumn("id", F.xxhash64("node", "party", "address", *CAPACITIES)).dropDuplicates(["id"]).drop("mention_id"))
     known = nodes.select("country").distinct()
-    same = (F.col("c1") == "") | (F.col("c2") == "") | F.col("c1").contains(F.col("c2")) | F.col("c2").contains(F.col("c1"))
-    countries = cut_lineage(known.select(F.col("country").alias("c1")).crossJoin(known.select(F.col("country").alias("c2"))).where(same))
+    countries = cut_lineage(_matching(known))
+    if countries.count() <= BROADCAST_COUNTRIES:
+        countries = F.broadcast(countries)
     named = nodes.where("name <> ''").select(F.col("node").alias("id"), "name", "tokens", "country")
     # Without an address or a party in common, or without a capacity, names must score this much; Dice d needs d / (2 - d) of each side's bigrams.
     least = (threshold - 0.45) / 0.6
