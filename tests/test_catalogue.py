@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from ampora.plans import catalogue, classify, entities, outputs, pages, relations, texts
+from ampora.plans import audit, catalogue, classify, entities, outputs, pages, relations, texts
 
-SQL = {name: (m, sql) for m in (catalogue, texts, classify, relations, pages, entities, outputs) for name, sql in m.oracle_sql().items()}
+SQL = {name: (m, sql) for m in (catalogue, texts, classify, relations, pages, entities, outputs, audit) for name, sql in m.oracle_sql().items()}
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "sources scans project_intel dajiala_article projects page_capture documents eval_items lang_samples container_specs region nation customer supplier part orders lineitem events embeddings".split()
