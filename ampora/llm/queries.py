@@ -19,7 +19,7 @@ def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with real content, with the numbers of their furniture lines."""
     documents = _texts(spark, sf_dir, "url", "title", "lang").where("text IS NOT NULL")
-    good = residue.residue(documents).where("residue IS NULL").drop("residue")
+    good = documents.where(~residue.is_residue(F.col("text")))
     return boilerplate.furniture_lines(good, table(spark, sf_dir, "page_capture"))
 
 
