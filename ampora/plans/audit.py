@@ -344,3 +344,55 @@ def stream_assessments(spark, d):
     judged = assessed(stream).select("doc_id", C.likelihood(F.col("title"), F.col("text"), F.col("url"), F.col("page_type"), F.col("published_at"))["energy"].alias("energy"))
     logs.run_once(judged, f"{path}/rows", f"{path}/state")
     return spark.read.schema("doc_id bigint, energy boolean").parquet(f"{path}/rows").groupBy("energy").agg(F.count("*").alias("n"))
+
+
+# --- small rules ----------------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT scan_id, date_diff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) + 1 AS days, greatest(1, least(3650, date_diff('day', CAST(start_date AS DATE), DATE '2026-07-31') + 2)) AS period_days, CAST(ceil(date_diff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) / 30.0) AS BIGINT) AS months FROM scans""")
+def scan_periods(spark, d):
+    """The length of each scan's range in days and months, and the days that an account's history must reach back, from one to ten years."""
+    day = lambda c: F.col(c).try_cast("date")
+    n = F.datediff(day("end_date"), day("start_date"))
+    back = F.datediff(F.lit("2026-07-31").cast("date"), day("start_date")) + 2
+    return table(spark, d, "scans").select("scan_id", (n + 1).cast("bigint").alias("days"), F.greatest(F.lit(1), F.least(F.lit(3650), back)).cast("bigint").alias("period_days"), F.ceil(n / 30.0).cast("bigint").alias("months"))
+
+
+@query(r"""
+WITH r AS (SELECT p.row_id, p.status, json_array_length(conflicts_json) AS c, len(json_keys(evidence_json)) AS e, primary_url FROM projects p)
+SELECT count(*) AS rows, count(*) FILTER (status IN ('approved', 'auto_approved')) AS confirmed, count(*) FILTER (status = 'review') AS review, count(*) FILTER (c > 0) AS in_conflict, count(*) FILTER (e = 0) AS without_evidence, count(*) FILTER (primary_url IS NULL) AS without_address, round(count(*) FILTER (status IN ('approved', 'auto_approved')) * 100.0 / count(*), 2) AS confirmed_percent FROM r""")
+def acceptance_stats(spark, d):
+    """The counts by which a run is accepted, in one pass."""
+    ok = F.col("status").isin("approved", "auto_approved")
+    keys = F.coalesce(F.size(F.map_keys(F.from_json("evidence_json", "map<string,string>"))), F.lit(0))
+    return table(spark, d, "projects").agg(F.count("*").alias("rows"), F.count_if(ok).alias("confirmed"), F.count_if(F.col("status") == "review").alias("review"), F.count_if(F.json_array_length("conflicts_json") > 0).alias("in_conflict"), F.count_if(keys == 0).alias("without_evidence"), F.count_if(F.col("primary_url").isNull()).alias("without_address"), F.round(F.count_if(ok) * 100.0 / F.count("*"), 2).alias("confirmed_percent"))
+
+
+@query(r"""
+WITH l AS (SELECT row_id, list_concat(from_json(source_urls_json, '["VARCHAR"]'), [primary_url], from_json(source_urls_json, '["VARCHAR"]')) AS u FROM projects WHERE primary_url IS NOT NULL)
+SELECT row_id, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ') AS urls FROM l""")
+def ordered_distinct(spark, d):
+    """Each row's addresses once, in the order in which they first stand."""
+    urls = F.from_json("source_urls_json", "array<string>")
+    return table(spark, d, "projects").where("primary_url IS NOT NULL").select("row_id", F.array_join(F.array_distinct(F.concat(urls, F.array("primary_url"), urls)), " ").alias("urls"))
+
+
+@query(r"""
+WITH t AS (SELECT row_id, source_urls_json || ' see ' || coalesce(primary_url, '') || '). ' AS s FROM projects),
+u AS (SELECT row_id, list_distinct(list_transform(regexp_extract_all(s, 'https?://[^\s"''<>，。；]+'), lambda x: regexp_replace(x, '[),.;:!?\]]+$', ''))) AS u FROM t)
+SELECT row_id, array_to_string(list_sort(u), ' ') AS urls FROM u""")
+def extracted_urls(spark, d):
+    """The web addresses in each row's JSON and text, without the marks that end a sentence, five hundred at most by the rule."""
+    text = F.concat("source_urls_json", F.lit(" see "), F.coalesce("primary_url", F.lit("")), F.lit("). "))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<>，。；]+"), F.lit(0)), lambda x: F.regexp_replace(x, r"[),.;:!?\]]+$", ""))
+    return table(spark, d, "projects").select("row_id", F.array_join(F.array_sort(F.slice(F.array_distinct(found), 1, 500)), " ").alias("urls"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, regexp_extract(published_at, '^20[0-9]{2}-[0-9]{2}-[0-9]{2}', 0) AS day FROM documents)
+SELECT doc_id FROM p WHERE coalesce(day, '') = '' OR day BETWEEN '2024-01-01' AND '2025-06-30'""")
+def hint_filter(spark, d):
+    """Documents whose stated day is unknown or in the range."""
+    day = F.regexp_extract(F.coalesce("published_at", F.lit("")), "^20[0-9]{2}-[0-9]{2}-[0-9]{2}", 0)
+    return table(spark, d, "documents").select("doc_id", day.alias("day")).where((F.col("day") == "") | F.col("day").between("2024-01-01", "2025-06-30")).select("doc_id")
