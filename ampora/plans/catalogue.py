@@ -572,7 +572,9 @@ def original_flags(spark, d):
 def consecutive_blocks(spark, d):
     """The lines of a text without empty ones and those equal to the line before."""
     x = F.split("text", "\n")
-    kept = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (F.element_at(x, i) != "") & ((i == 1) | (F.element_at(x, i) != F.element_at(x, F.greatest(i - 1, F.lit(1))))))
+    # Each line beside the one before it; the first stands beside an empty one.
+    beside = F.arrays_zip(x.alias("line"), F.concat(F.array(F.lit("")), x).alias("before"))
+    kept = F.filter(beside, lambda z: (z["line"] != "") & (z["line"] != z["before"]))
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(kept).cast("bigint").alias("blocks"))
 
 
