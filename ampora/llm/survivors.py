@@ -146,10 +146,12 @@ def _vote(values: DataFrame, keys: list[str]) -> DataFrame:
     """One survivor per group of ``keys``, with the group's weight; values have columns value, weight and rank."""
     # The number of values of a group is bounded by the caller.
     groups = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "weight"))).alias("g"), F.sum("weight").alias("weight"))
-    # One value needs no vote, and no trip to Python.
     pick = lambda name: F.transform("g", lambda x: x[name])
-    many = groups.where(F.size("g") > 1).withColumn("i", _closest(pick("value"), pick("weight")))
-    one = groups.where(F.size("g") == 1).withColumn("i", F.lit(0))
+    # A value of half of all weight has the majority in every column: no vote can change it, so no trip to Python.
+    top = F.array_max(pick("weight"))
+    settled = top * 2 >= F.col("weight")
+    many = groups.where(~settled).withColumn("i", _closest(pick("value"), pick("weight")))
+    one = groups.where(settled).withColumn("i", (F.array_position(pick("weight"), top) - 1).cast("int"))
     best = F.element_at("g", F.col("i") + 1)
     return many.unionByName(one).select(*keys, best["value"].alias("value"), best["rank"].alias("rank"), "weight")
 

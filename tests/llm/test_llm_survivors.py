@@ -37,6 +37,17 @@ def test_dominant_weights_choose_the_first_and_others_do_not():
     assert differ > 20
 
 
+def test_half_of_the_weight_settles_a_vote():
+    rnd = random.Random(3)
+    for _ in range(300):
+        values = list(dict.fromkeys(" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(2, 5))))
+        weights = [float(rnd.randrange(1, 5)) for _ in values]
+        k = rnd.randrange(len(values))
+        weights[k] = max(sum(weights) - weights[k], max(weights))
+        if weights[k] * 2 >= sum(weights):
+            assert s.closest(values, weights) == weights.index(max(weights))
+
+
 def test_consensus_survivors_of_hot_groups(spark):
     rows = []
     for i in range(900):  # 300 distinct slips of one name, more than a block, against the name itself
