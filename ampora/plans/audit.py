@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ampora.functions import text as X
 from ampora.functions.terms import ARCHIVE_PATH, CONTENT_PATH, DOMESTIC, ENERGY, PROJECT
 from ampora.operators import classify as C
+from ampora.operators import search
 from ampora.plans.classify import assessed
 from ampora.plans.registry import Registry
 from ampora.plans.texts import _key_sql
@@ -108,15 +109,13 @@ SELECT s.row_id, count(DISTINCT d.doc_id) AS documents, min(d.doc_id) AS first_d
 def verified_hints(spark, d):
     """Confirmed rows whose name stands word for word in documents of their own source.
 
-    The names of a source are gathered into one array (a source has few confirmed names beside documents), so each document is read once
-    and only the names it holds leave it.
+    All names are looked for at once, so each document is read once whatever their number, and only the names it holds leave it.
     """
     name = F.trim(_field("project_name"))
     hints = spread(table(spark, d, "projects").where("status IN ('approved', 'auto_approved') AND source_id IS NOT NULL").select("row_id", "source_id", "fields_json")).select("row_id", "source_id", name.alias("name"), X.name_key(_field("project_name")).alias("k")).where("length(name) >= 4 AND k <> ''")
-    names = hints.select("source_id", F.lower("name").alias("low")).distinct()
-    by_source = names.groupBy("source_id", F.pmod(F.xxhash64("low"), F.lit(64)).alias("block")).agg(F.collect_list("low").alias("names"))
-    docs = table(spark, d, "documents").select("doc_id", "source_id", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("body"))
-    hits = docs.join(by_source, "source_id").select("doc_id", "source_id", F.explode(F.filter("names", lambda n: F.col("body").contains(n))).alias("low"))
+    body = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("body")
+    docs = spread(table(spark, d, "documents").where("source_id IS NOT NULL").select("doc_id", "source_id", "title", "text")).select("doc_id", "source_id", body)
+    hits = search.holders(docs, hints.select("source_id", F.lower("name").alias("name"))).withColumnRenamed("name", "low")
     found = hits.groupBy("source_id", "low").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
     return hints.withColumn("low", F.lower("name")).join(found, ["source_id", "low"]).select("row_id", "documents", "first_doc")
 

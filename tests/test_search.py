@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 
 from ampora.operators import search
-from ampora.plans import relations
+from ampora.plans import audit, relations
 
 
 def test_search_finds_what_a_plain_search_finds(monkeypatch):
@@ -43,3 +43,15 @@ def test_best_references_as_by_every_pair(spark):
         assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
         # No pair of a reference and a document is a row.
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verified_hints_reads_each_document_once(spark, tmp_path, monkeypatch):
+    rows = [(1, "approved", "s", '{"project_name": "Nord Tal"}'), (2, "auto_approved", "s", '{"project_name": " NORD TAL "}'), (3, "approved", "t", '{"project_name": "Nord Tal"}'), (4, "approved", "s", '{"project_name": "Tal"}'), (5, "rejected", "s", '{"project_name": "Nord"}'), (6, "approved", None, '{"project_name": "Nord Tal"}'), (7, "approved", "s", '{"project_name": "哈登电站2号"}'), (8, "approved", "s", "{}")]
+    docs = [(1, "s", "nord", "tal"), (2, "s", None, "the NORD TAL site"), (3, "s", "哈登电站2号", "Nord Tal, nord tal"), (4, "t", "x", None), (5, None, "Nord Tal", "")]
+    spark.createDataFrame(rows, "row_id long, status string, source_id string, fields_json string").write.parquet(str(tmp_path / "projects.parquet"))
+    spark.createDataFrame(docs, "doc_id long, source_id string, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for block in (1, search.NAME_BLOCK):
+        monkeypatch.setattr(search, "NAME_BLOCK", block)
+        got = audit.queries()["verified_hints"](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == [(1, 2, 2), (2, 2, 2), (7, 1, 3)]
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
