@@ -4,7 +4,7 @@ The pair score is the reference's: name 0.6, country 0.15, three capacities 0.2,
 their tokens. Candidates come from equi joins within matching countries that lose no pair over the threshold: prefix
 filters over bigrams and over tokens for similar names, the rarest bigram of the shorter text for contained ones, and the
 same over addresses for pairs whose names are hardly alike. Names are nodes, linked where any two of their mentions score
-above the threshold; links give components by min-label propagation with checkpoints.
+above the threshold; links give components by min-label propagation whose rounds are written to files.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampora.functions import text as X
-from ampora.session import cut_lineage
+from ampora.session import cut_lineage, written
 
 THRESHOLD = 0.58
 CAPACITIES = ("capacity", "storage_power", "storage_energy")
@@ -77,14 +77,14 @@ BROADCAST_COUNTRIES = 100_000  # pairs of matching country names (about 10 MB) t
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the least node of each connected component; rounds go on until no label changes."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(nodes.select("node", F.col("node").alias("component")))
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         # A label's own label is followed as well, which halves the distance to the root.
         step = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("before"))
         jump = step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("component").alias("c2")), F.col("s.component") == F.col("n2"), "left")
-        after = cut_lineage(jump.select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "before"))
+        after = written(jump.select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "before"))
         labels = after.select("node", "component")
         if after.where("component <> before").isEmpty():
             return labels

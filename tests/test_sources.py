@@ -58,6 +58,14 @@ def test_resolve(spark):
     assert {comp[i] for i in range(41)} == {0} and comp[41] == 41
 
 
+def test_components_carry_no_plan_from_round_to_round(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    found = resolve.components(spark.range(10).withColumnRenamed("id", "node"), path)
+    assert {r["node"]: r["component"] for r in found.collect()} == {**dict.fromkeys(range(9), 0), 9: 9}
+    # What a checkpoint keeps of its plan grew from round to round.
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_resolve_scores_all_terms_and_loses_no_pair(spark):
     import itertools
     import random
